@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vaultframe.llm import decontam
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -18,8 +20,38 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vaultframe.llm.token_counts import token_counts
+
+    return token_counts(_docs(spark, sf_dir), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vaultframe.llm.mixing import mixed
+
+    return mixed(_docs(spark, sf_dir), columns=["doc_id"])
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vaultframe.llm.decontam import contamination
+
+    return contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vaultframe.llm.quality_rules import judged
+
+    return judged(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op4_source_mix": op4_source_mix,
+    "op7_decontamination": op7_decontamination,
     "op9_near_dedup": op9_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontam.SQL}
