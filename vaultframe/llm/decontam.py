@@ -45,9 +45,10 @@ def _hash(hashed: Column) -> Column:
 
 
 def _found(k: int, known: list[int]) -> Column:
-    """The windows of k words whose hash is known."""
+    """The windows of k words whose hash is known. The hashes are named twice here, so
+    that the optimizer keeps them as a column and doesn't make them anew for each i."""
     w, h = F.col("_w"), F.col("_h")
-    at = F.filter(_starts(F.size(w), k), lambda i: _hash(_at(h, i, k)).isin(known))
+    at = F.filter(_starts(F.size(h), k), lambda i: _hash(_at(h, i, k)).isin(known))
     return F.transform(at, lambda i: F.struct(i.alias("i"), _at(w, i, k).alias("gram")))
 
 
@@ -115,10 +116,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r,
-         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x{80}-\x{10FFFF}]+'), x -> x <> '') AS w
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w
   FROM documents),
 b AS (
-  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x{80}-\x{10FFFF}]+'), x -> x <> '') AS w
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w
   FROM benchmark),
 g AS (
   SELECT DISTINCT item_id, w[i:i + least(len(w), 10) - 1] AS gram
