@@ -46,9 +46,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_docs(spark, sf_dir))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vaultframe.llm.quality_crf import scored
+
+    return scored(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vaultframe.llm.toxicity import scored
+
+    return scored(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_source_mix": op4_source_mix,
+    "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
