@@ -27,8 +27,8 @@ from vaultframe.llm.quality_crf import held_out
 SAMPLE, SAMPLE_BYTES, TERMS = 20_000, 200_000, 500
 THRESHOLD = 0.5
 #: Toxic documents that a term needs, and how many times likelier it must be there.
-SUPPORT, LIFT = 6, 30.0
-STEM = (4, 7)
+SUPPORT, LIFT = 6, 12.0
+STEM = (3, 10)
 WINDOW = 8
 #: Words that introduce what others said, in the languages of the corpus.
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes reported reports according term word words phrase dit disait écrit selon mot terme sagte sagt schrieb laut wort begriff dijo dice escribió según palabra término".split())
@@ -140,7 +140,7 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = {(w, False) for w in words} | {(w[:k], True) for w in words for k in range(STEM[0], min(STEM[1], len(w)))}
                 for key in keys:
                     counts.setdefault(key, [0, 0])[0 if toxic[i] else 1] += 1
-        if len(counts) > 1_000_000:
+        if len(counts) > 300_000:
             yield batch(schema, [k[0] for k in counts], [k[1] for k in counts], [v[0] for v in counts.values()], [v[1] for v in counts.values()])
             counts = {}
     if counts:
@@ -149,17 +149,15 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _learn(rows: list[tuple[str, bool, int, int]], terms: int) -> list[tuple[str, bool]]:
     words = {r[0]: r[2] for r in rows if not r[1]}
-    chosen: list[tuple[str, bool]] = []
-    stems: list[str] = []
-    below: Counter = Counter()
     most: Counter = Counter()
     for w, n in words.items():
         for k in range(STEM[0], min(STEM[1], len(w))):
-            below[w[:k]] += 1
             most[w[:k]] = max(most[w[:k]], n)
+    chosen: list[tuple[str, bool]] = []
+    stems: list[str] = []
     found = {r[0]: r[2] for r in rows if r[1]}
     for s, n in sorted(found.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
-        if below[s] >= 4 and n >= 2 * most[s] and not any(s.startswith(x) or x.startswith(s) for x in stems):
+        if n >= 2 * max(SUPPORT, most[s]) and not any(s.startswith(x) or x.startswith(s) for x in stems):
             stems.append(s)
     chosen += [(s, True) for s in stems[: terms // 2]]
     for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
