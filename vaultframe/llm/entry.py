@@ -58,10 +58,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vaultframe.llm.lm_hpyp import scored
+
+    return scored(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_source_mix": op4_source_mix,
+    "op5_language_model": op5_language_model,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op9_near_dedup": op9_near_dedup,
