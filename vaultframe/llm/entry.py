@@ -64,7 +64,14 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_docs(spark, sf_dir))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vaultframe.llm.suffix_dedup import removed
+
+    return removed(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_source_mix": op4_source_mix,
