@@ -110,7 +110,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     marked = _hits(docs, grams, max_windows)
     if 0 < len(texts) <= max_windows:
         marked = marked.withColumn("hits", F.filter("hits", lambda x: F.array_join(x.gram, " ").isin(texts)))
-    return marked.filter(F.size("hits") == 0).select(docs.columns)
+    # A column of no fixed value keeps the optimizer from pushing the filter, and with it
+    # a copy of every expression that it names, below the columns made here.
+    marked = marked.withColumn("_row", F.monotonically_increasing_id())
+    return marked.filter((F.size("hits") == 0) & (F.col("_row") >= 0)).select(docs.columns)
 
 
 SQL = r"""
