@@ -101,6 +101,8 @@ def register(name: str, probe: Probe, read: Read, extensions: tuple[str, ...] =
 def detect(data: bytes, o: Options = Options()) -> str | None:
     """The format's name; None if the bytes are no archive."""
     hint = EXTENSIONS.get(o.extension.lower().lstrip("."))
+    if hint in ("GZip", "Lzw"):  # what these wrap may be a tar
+        hint = "Tar"
     for name in dict.fromkeys([*([hint] if hint else []), *FORMATS]):
         if FORMATS[name][0](data, o):
             return name
