@@ -107,13 +107,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     text holds none."""
     grams = benchmark_windows(benchmark, window)
     texts = [r[0] for r in grams.select(F.array_join("gram", " ")).distinct().limit(max_windows + 1).collect()]
-    marked = _hits(docs, grams, max_windows)
+    others = [c for c in docs.columns if c != "text"]
+    marked = _hits(docs.select(F.struct(*others).alias("_rest"), "text"), grams, max_windows)
     if 0 < len(texts) <= max_windows:
         marked = marked.withColumn("hits", F.filter("hits", lambda x: F.array_join(x.gram, " ").isin(texts)))
     # A column of no fixed value keeps the optimizer from pushing the filter, and with it
     # a copy of every expression that it names, below the columns made here.
     marked = marked.withColumn("_row", F.monotonically_increasing_id())
-    return marked.filter((F.size("hits") == 0) & (F.col("_row") >= 0)).select(docs.columns)
+    return marked.filter((F.size("hits") == 0) & (F.col("_row") >= 0)).select(*(F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns))
 
 
 SQL = r"""

@@ -17,6 +17,8 @@ from vaultframe.llm.common import written
 
 #: Weights of the sources in order, repeating; share of all sizes; repetitions at most.
 WEIGHTS, RATIO, REPEATS = (5, 2, 1), 1.5, 2
+#: Columns that the mix adds.
+RESULTS = ("size", "source_size", "target", "taken")
 #: Distinct membership patterns that may reach the driver.
 MAX_PATTERNS = 100_000
 #: A pattern's documents are dealt into so many buckets of its seeded order.
@@ -107,14 +109,15 @@ def mixed(docs: DataFrame, members: Column | None = None, seed: int = 17, weight
     often as the flow covers all of them, then once more in an order seeded by doc_id;
     the last one is cut where the flow ends, so that a source's words meet its target.
     target and source_size are those of the first of a document's sources. Reruns
-    agree; rows that share a doc_id are ordered by size. An empty table stays empty."""
+    agree; columns of docs that have the results' names are left out; rows that share a doc_id are ordered by size. An empty table stays empty."""
     by = members if members is not None else F.array("source")
-    columns = docs.columns if columns is None else columns
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in RESULTS]
     key = F.transform(F.array_sort(F.array_distinct(by)), lambda x: F.concat(F.lit("="), x))
     pattern = F.to_json(F.transform(key, lambda x: F.coalesce(x, F.lit("-"))))
     # The order of a pattern's rows, in 32 bits, and its bucket.
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sized = docs.select(*{*columns, "doc_id"}, word_count(F.col("text")).alias("size"), pattern.alias("_pattern"), order.alias("_order"), F.pmod(F.shiftright(order, 40), F.lit(BUCKETS)).cast("int").alias("_bucket"))
+    rest = F.struct(*(F.col(c) for c in columns if c != "text"))
+    sized = docs.select(rest.alias("_others"), *(["text"] if "text" in columns else []), "doc_id", word_count(F.col("text")).alias("size"), pattern.alias("_pattern"), order.alias("_order"), F.pmod(F.shiftright(order, 40), F.lit(BUCKETS)).cast("int").alias("_bucket"))
     if "text" in columns:  # the texts are read again rather than written
         small = written(sized.select("doc_id", "size", "_pattern", "_order", "_bucket"), "sizes")
     else:
@@ -170,4 +173,4 @@ def _select(sized: DataFrame, cut: DataFrame, plan: DataFrame, edge: DataFrame,
         .otherwise(F.lit(0))
     )
     taken = (F.col("_full") * F.col("size") + extra).cast("long")
-    return sized.join(F.broadcast(facts), "_pattern").select(*columns, "size", "source_size", "target", taken.alias("taken"))
+    return sized.join(F.broadcast(facts), "_pattern").select(*(F.col("text") if c == "text" else F.col("_others")[c].alias(c) for c in columns), "size", "source_size", "target", taken.alias("taken"))

@@ -346,7 +346,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     runs through goes as a whole, and n_chars, where there is such a column, counts what
     is left. Null texts stay null."""
     columns = docs.columns
-    keyed, spans = repeats(docs)
+    others = [c for c in columns if c != "text"]
+    keyed, spans = repeats(docs.select(F.struct(*others).alias("_rest"), "text"))
 
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -359,6 +360,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     kept = b"".join(raw[x:y] for x, y in zip([0, *cut[1::2]], [*cut[::2], len(raw)], strict=True))
                     texts.append(kept.decode(errors="ignore"))
             null = b.column("text").is_null().to_pylist()
+            rest = dict(zip(others, b.column("_rest").flatten(), strict=True))
             out = []
             for c in columns:
                 if c == "text":
@@ -366,8 +368,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 elif c == "n_chars":
                     out.append(pa.array([len(x) for x in texts], pa.int64()))
                 else:
-                    out.append(b.column(c))
+                    out.append(rest[c])
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
     kind = ", ".join(f"`{f.name}` {'long' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema.fields)
-    return keyed.join(spans, ["k1", "k2"], "left").select(*columns, "runs").mapInArrow(step, kind)
+    return keyed.join(spans, ["k1", "k2"], "left").select("_rest", "text", "runs").mapInArrow(step, kind)
