@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultframe.functions import checksums, codecs, filters, times
+from vaultframe.functions.archives import archive_type, detected, register_functions
 from vaultframe.operators.build import build_archives
 from vaultframe.operators.extract import unsafe
 from vaultframe.operators.inspect import first_in_folder, inspect
@@ -25,8 +26,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Documents of a language are dealt to so many archives, so that none grows with one.
-DEAL = 16
+#: Documents of a language are dealt to so many archives at least, and to more where
+#: these would hold more characters than PACK, so that none outgrows a binary cell.
+DEAL, PACK = 16, 32 << 20
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -52,8 +54,9 @@ def own_folder(spark: SparkSession) -> str:
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: key lang/doc_id.txt, dealt to archives."""
     d = table(spark, sf_dir, "documents")
+    deal = max(DEAL, -(-(d.agg(F.sum("n_chars")).first()[0] or 0) // PACK))
     return d.select(
-        F.concat_ws("-", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(DEAL))).alias("pack"),
+        F.concat_ws("-", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(deal))).alias("pack"),
         F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("key"),
         F.encode(F.col("text"), "UTF-8").alias("content"),
     )
@@ -273,19 +276,36 @@ def unsafe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unsafe(every)
 
 
-@query("detect_formats", "SELECT * FROM (VALUES ('7z', 'SevenZip', 'None'), ('gzip', 'GZip', 'None'), ('tar', 'Tar', 'None'), ('tar.bz2', 'Tar', 'BZip2'), ('tar.gz', 'Tar', 'GZip'), ('tar.lz', 'Tar', 'LZip'), ('zip', 'Zip', 'None')) AS t(made, archive_type, outer_compression)")
-def detect_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _each_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_name", F.col("n_name").alias("key"), F.encode("n_name", "UTF-8").alias("content"))
     made = {"zip": ("zip", None), "tar": ("tar", None), "tar.gz": ("tar", "gzip"), "tar.bz2": ("tar", "bzip2"), "tar.lz": ("tar", "lzip"), "7z": ("7z", None)}
-    out = None
+    out = build_archives(n.orderBy("n_name").limit(1).withColumn("pack", F.lit("gzip")), "pack", "gzip")
     for name, (kind, codec) in made.items():
-        a = build_archives(n.withColumn("pack", F.lit(name)), "pack", kind, WriteOptions(codec=codec))
-        out = a if out is None else out.union(a)
-    out = out.union(build_archives(n.orderBy("n_name").limit(1).withColumn("pack", F.lit("gzip")), "pack", "gzip"))
-    e = explode_archives(out.select(F.col("pack").alias("path"), F.col("archive").alias("content")), content=False)
+        out = out.union(build_archives(n.withColumn("pack", F.lit(name)), "pack", kind, WriteOptions(codec=codec)))
+    return out
+
+
+@query("detect_formats", "SELECT * FROM (VALUES ('7z', 'SevenZip', 'None'), ('gzip', 'GZip', 'None'), ('tar', 'Tar', 'None'), ('tar.bz2', 'Tar', 'BZip2'), ('tar.gz', 'Tar', 'GZip'), ('tar.lz', 'Tar', 'LZip'), ('zip', 'Zip', 'None')) AS t(made, archive_type, outer_compression)")
+def detect_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = explode_archives(_each_format(spark, sf_dir).select(F.col("pack").alias("path"), F.col("archive").alias("content")), content=False)
     return e.select(F.col("archive_path").alias("made"), "archive_type", "outer_compression").distinct()
 
 
+@query("archive_type_column", ORACLE_SQL["detect_formats"].replace("SELECT * FROM", "SELECT made, archive_type, true AS agrees FROM"))
+def archive_type_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _each_format(spark, sf_dir).select(F.col("pack").alias("made"), "archive")
+    return made.select("made", archive_type(F.col("archive")).alias("archive_type"), (archive_type(F.col("archive")) == detected(F.col("archive")).archive_type).alias("agrees"))
+
+
+@query("entries_table_function", "SELECT n_name AS key, CAST(length(n_name) AS BIGINT) AS size, md5(n_name) AS content_md5 FROM nation")
+def entries_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_functions(spark)
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("pack"), F.col("n_name").alias("key"), F.encode("n_name", "UTF-8").alias("content"))
+    name = f"made_{uuid.uuid4().hex}"
+    build_archives(n, "pack", "7z").createOrReplaceTempView(name)
+    return spark.sql(f"SELECT e.key, e.size, md5(e.content) AS content_md5 FROM {name} m, LATERAL archive_entries(m.archive) e")
+
+
 @query("sink_and_source", DIGEST_SQL)
 def sink_and_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)

@@ -115,7 +115,8 @@ class PushingReader(ArchiveReader):
 
 
 class ArchiveWriter(DataSourceWriter):
-    """One archive for each task that has rows, its entries in the rows' order. Rows:
+    """Archives of each task's rows, in their order, a new one where maxArchiveBytes of
+    content would be passed, so that none grows with the table. Rows:
     key, content, and perhaps is_directory, last_modified, codec, level, comment."""
 
     def __init__(self, schema: StructType, options: dict[str, str], overwrite: bool):
@@ -124,20 +125,30 @@ class ArchiveWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        items = []
-        for r in iterator:
-            x = dict(zip(self.names, r, strict=True))
-            items.append(Item(x["key"], None if x.get("is_directory") else bytes(x["content"] or b""), x.get("last_modified"), x.get("codec"), x.get("level"), x.get("comment") or ""))
-        if items:
-            kind = self.o.get("type", "zip").lower()
-            o = WriteOptions(self.o.get("codec"), int(self.o["level"]) if "level" in self.o else None, self.o.get("comment", ""), self.o.get("zip64") == "true", self.o.get("tarformat", "gnu"), self.o.get("finalize", "true") == "true", self.o.get("compressedheader") == "true")
-            t = TaskContext.get()
-            root = self.o["path"].removeprefix("file://")
+        t = TaskContext.get()
+        kind = self.o.get("type", "zip").lower()
+        o = WriteOptions(self.o.get("codec"), int(self.o["level"]) if "level" in self.o else None, self.o.get("comment", ""), self.o.get("zip64") == "true", self.o.get("tarformat", "gnu"), self.o.get("finalize", "true") == "true", self.o.get("compressedheader") == "true")
+        root, limit = self.o["path"].removeprefix("file://"), int(self.o.get("maxarchivebytes", 256 << 20))
+        items: list[Item] = []
+        size = made = 0
+
+        def flush() -> None:
             os.makedirs(root, exist_ok=True)
-            path = os.path.join(root, f"part-{t.partitionId():05d}.{EXTENSION[kind]}")
+            path = os.path.join(root, f"part-{t.partitionId():05d}-{made:04d}.{EXTENSION[kind]}")
             with open(f"{path}.{t.attemptNumber()}.tmp", "wb") as f:
                 f.write(write(kind, items, o))
             os.replace(f.name, path)  # a later attempt of the task writes the same
+
+        for r in iterator:
+            x = dict(zip(self.names, r, strict=True))
+            item = Item(x["key"], None if x.get("is_directory") else bytes(x["content"] or b""), x.get("last_modified"), x.get("codec"), x.get("level"), x.get("comment") or "")
+            if items and (size + len(item.content or b"") > limit or kind == "gzip"):
+                flush()
+                items, size, made = [], 0, made + 1
+            items.append(item)
+            size += len(item.content or b"")
+        if items:
+            flush()
         return WriterCommitMessage()
 
 
