@@ -153,7 +153,21 @@ def _crc_sql(poly: int, bits: int, start: int, final: int, kind: str) -> str:
 SELECT p_partkey, CAST(xor(list_reduce(bytes, lambda c, x: xor(tab[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8), {start}::{kind}), {final}::{kind}) AS {{out}}) AS checksum FROM b, t"""
 
 
+def _high_table(poly: int) -> list[int]:
+    """The byte table of a CRC-32 of the highest bit first."""
+    out = []
+    for n in range(256):
+        n <<= 24
+        for _ in range(8):
+            n = ((n << 1) ^ poly if n & 0x80000000 else n << 1) & 0xFFFFFFFF
+        out.append(n)
+    return out
+
+
 _CHECKS = {
+    "crc64_iso": _crc_sql(0xD800000000000000, 64, 0, 0, "UBIGINT").format(out="VARCHAR"),
+    "ace_header_crc": _crc_sql(0xEDB88320, 32, 0xFFFFFFFF, 0, "BIGINT").format(out="BIGINT").replace("AS checksum", "& 65535 AS checksum"),
+    "bzip2_crc": _crc_sql(0xEDB88320, 32, 0xFFFFFFFF, 0xFFFFFFFF, "BIGINT").format(out="BIGINT").replace(", ".join(f"{x}::BIGINT" for x in checksums._table(0xEDB88320, 0xFFFFFFFF)), ", ".join(f"{x}::BIGINT" for x in _high_table(0x04C11DB7))).replace("tab[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8", "tab[CAST(xor(c >> 24, x) & 255 AS BIGINT) + 1], (c << 8) & 4294967295"),
     "crc32": _crc_sql(0xEDB88320, 32, 0xFFFFFFFF, 0xFFFFFFFF, "BIGINT").format(out="BIGINT"),
     "crc32_raw": _crc_sql(0xEDB88320, 32, 0xFFFFFFFF, 0, "BIGINT").format(out="BIGINT"),
     "crc16_arc": _crc_sql(0xA001, 16, 0, 0, "BIGINT").format(out="BIGINT"),
