@@ -154,6 +154,86 @@ def test_gzip_arc_arj_ace_rar_stored():
     assert read(rar5) == {"f.txt": body}
 
 
+class Writer:
+    """Bits, highest first, and RAR 5 blocks with codes of fixed lengths: enough to test
+    the decoder with, though not by anyone else's encoder."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [value >> i & 1 for i in range(n - 1, -1, -1)]
+
+    def tables(self):
+        for _ in range(20):
+            self.put(5, 4)
+        for n, size in ((306, 9), (64, 6), (16, 4), (44, 6)):
+            for _ in range(n):
+                self.put(size, 5)
+
+    def block(self, last=True, tables=True):
+        n = len(self.bits)
+        raw = bytes(int("".join(map(str, self.bits[i : i + 8])).ljust(8, "0"), 2) for i in range(0, n, 8))
+        flags = (n - 1) % 8 | 1 << 3 | (0x40 if last else 0) | (0x80 if tables else 0)
+        size = struct.pack("<H", len(raw))
+        return bytes([flags, 0x5A ^ flags ^ size[0] ^ size[1]]) + size + raw
+
+
+def rar5_packed():
+    w = Writer()
+    w.tables()
+    for c in b"abcdefgh":
+        w.put(c, 9)
+    w.put(262 + 4, 9), w.put(3, 6)  # length 6, distance 4
+    w.put(257, 9)  # the same again
+    w.put(262 + 8, 9), w.put(1, 1), w.put(5, 6), w.put(0, 1)  # length 2 + 8 + 1, distance 1 + 6
+    w.put(259, 9), w.put(2, 6)  # the distance before, length 4
+    out = bytearray(b"abcdefgh")
+    for d, n in ((4, 6), (4, 6), (7, 11), (4, 4)):
+        out += _copied(out, d, n)
+    return w.block(), bytes(out)
+
+
+def _copied(done, distance, n):
+    out = bytearray(done)
+    for _ in range(n):
+        out.append(out[-distance])
+    return out[len(done) :]
+
+
+def test_rar5_compressed_solid_and_encrypted():
+    packed, plain = rar5_packed()
+    second = Writer()
+    for c in b"xyz":
+        second.put(c, 9)
+    second.put(262 + 1, 9), second.put(2, 6)
+    more = second.block(tables=False)
+    tail = b"xyz" + bytes(_copied(plain + b"xyz", 3, 3))
+
+    def vint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + vint(n >> 7)
+
+    def five(head):
+        x = vint(len(head)) + head
+        return struct.pack("<I", zlib.crc32(x)) + x
+
+    def entry(name, body, content, method, extra=b""):
+        fields = (vint(len(extra)) if extra else b"") + vint(len(body)) + b"\x04" + vint(len(content)) + b"\0" + struct.pack("<I", zlib.crc32(content)) + vint(method) + bytes([0, len(name)]) + name + extra
+        return five(bytes([2, 3 if extra else 2]) + fields) + body
+
+    start = b"Rar!\x1a\x07\x01\0" + five(b"\x01\0\0")
+    data = start + entry(b"a", packed, plain, 1 << 7) + entry(b"b", more, tail, 1 << 7 | 64) + five(b"\x05\0\0")
+    assert read(data) == {"a": plain, "b": tail}
+    assert list(detect.entries(data))[1].content() == tail  # alone: those before it are decoded first
+    salt, iv = bytes(range(16)), bytes(range(16, 32))
+    body = crypto.aes_cbc_encrypt(crypto.rar5_key("test", salt, 4), iv, b"sixteen letters!")
+    extra = bytes([1, 0, 1, 4]) + salt + iv + crypto.rar5_check("test", salt, 4) + bytes(4)
+    data = start + entry(b"s", body, b"sixteen letters!", 0, bytes([len(extra)]) + extra) + five(b"\x05\0\0")
+    assert read(data, Options(password="test")) == {"s": b"sixteen letters!"}
+    with pytest.raises(crypto.BadPassword):
+        read(data, Options(password="no"))
+
+
 def test_detection_and_volumes():
     assert detect.detect(b"nothing known here") is None and detect.detect(b"") is None
     assert detect.detect(write("tar", ITEMS, WriteOptions(codec="gzip")), Options(extension=".gz")) == "Tar"

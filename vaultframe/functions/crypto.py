@@ -175,6 +175,13 @@ def rar5_key(password: str, salt: bytes, log_rounds: int) -> bytes:
     return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, 1 << log_rounds, 32)
 
 
+def rar5_check(password: str, salt: bytes, log_rounds: int) -> bytes:
+    """Eight bytes that tell a wrong password: the derivation carried on by 32 rounds,
+    folded."""
+    value = hashlib.pbkdf2_hmac("sha256", password.encode(), salt, (1 << log_rounds) + 32, 32)
+    return bytes(value[i] ^ value[i + 8] ^ value[i + 16] ^ value[i + 24] for i in range(8))
+
+
 def rar3_key(password: str, salt: bytes) -> tuple[bytes, bytes]:
     """Key and initial vector: SHA-1 over 2 ** 18 repetitions, the vector's bytes taken
     on the way."""

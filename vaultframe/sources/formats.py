@@ -8,7 +8,7 @@ import tarfile
 import zlib
 from collections.abc import Iterator
 
-from vaultframe.functions import checksums, crypto
+from vaultframe.functions import checksums, crypto, rar5
 from vaultframe.functions.codecs import DEFAULT, Context, Registry
 from vaultframe.functions.times import dos_time, file_time, unix_time
 from vaultframe.sources.model import ArchiveError, Damaged, Entry, Incomplete, Options, Unsupported
@@ -352,7 +352,7 @@ def rar_entries(data: bytes, o: Options, registry: Registry = DEFAULT) -> Iterat
 def _stored(data: bytes, e: Entry, stored: bool, body: int, packed: int) -> None:
     def read() -> bytes:
         if e.is_encrypted or not stored:
-            raise Unsupported("only stored rar entries are read")
+            raise Unsupported("of rar before version 5, only stored entries are read")
         if body + packed > len(data):
             raise Incomplete("archive ends within an entry")
         return data[body : body + packed]
@@ -360,6 +360,48 @@ def _stored(data: bytes, e: Entry, stored: bool, body: int, packed: int) -> None
     e.read = read
 
 
+class _Rar5Stream:
+    """Contents in order: a solid entry needs those before it decoded."""
+
+    def __init__(self, data: bytes, o: Options):
+        self.data, self.o, self.parts, self.decoder, self.next = data, o, [], rar5.Decoder(), 0
+
+    def put(self, e: Entry, method: int, body: int, packed: int, crypt: tuple[int, bytes, bytes, bytes] | None) -> None:
+        at = len(self.parts)
+        self.parts.append((e, method, body, packed, crypt))
+        e.read = lambda: self.read(at)
+
+    def raw(self, at: int) -> bytes:
+        e, _, body, packed, crypt = self.parts[at]
+        if body + packed > len(self.data) or not e.is_complete:
+            raise Incomplete("a part of the entry is missing")
+        raw = self.data[body : body + packed]
+        if crypt is None:
+            return raw
+        if self.o.password is None:
+            raise ArchiveError("a password is needed")
+        rounds, salt, iv, check = crypt
+        if check and crypto.rar5_check(self.o.password, salt, rounds) != check[:8]:
+            raise crypto.BadPassword("bad password")
+        return crypto.aes_cbc_decrypt(crypto.rar5_key(self.o.password, salt, rounds), iv, raw)
+
+    def read(self, at: int) -> bytes:
+        e, method, _, _, _ = self.parts[at]
+        _guard(e.size, len(self.data), self.o)
+        if not method:
+            return self.raw(at)[: e.size]
+        first = at
+        while self.parts[first][0].is_solid and first > 0 and first != self.next:
+            first -= 1
+        out = b""
+        for i in range(first, at + 1):
+            x, m, _, _, _ = self.parts[i]
+            if m and not x.is_directory:
+                out = self.decoder.unpack(self.raw(i), x.size, x.is_solid)
+                self.next = i + 1
+        return out
+
+
 def _rar4(data: bytes, at: int, o: Options) -> Iterator[Entry]:
     while at + 7 <= len(data):
         _, kind, flags, n = struct.unpack_from("<HBHH", data, at)
@@ -420,6 +462,7 @@ def rar_name(raw: bytes) -> str:
 
 
 def _rar5(data: bytes, at: int, o: Options) -> Iterator[Entry]:
+    stream = _Rar5Stream(data, o)
     while at + 7 <= len(data):
         crc = struct.unpack_from("<I", data, at)[0]
         n, i = _vint(data, at + 4)
@@ -452,22 +495,27 @@ def _rar5(data: bytes, at: int, o: Options) -> Iterator[Entry]:
             name = data[i : i + length].decode("utf-8", "replace")
             e = Entry("Rar", name, "None" if not method >> 7 & 7 else "Rar", full, packed, check or 0, mtime, is_directory=bool(own & 1), is_solid=bool(method & 64), is_split_after=bool(flags & 16), is_complete=not flags & 24, attrib=attrib if attrib < 1 << 31 else attrib - (1 << 32), check=checksums.crc32 if check is not None else None)
             e.format_meta |= {"version": str(50 + (method & 63)), "host_os": str(host)}
-            _rar5_extra(data[end - extra : end], e)
-            _stored(data, e, not method >> 7 & 7, end, packed)
+            crypt = _rar5_extra(data[end - extra : end], e)
+            stream.put(e, method >> 7 & 7, end, packed, crypt)
             if e.is_encrypted:
                 e.check = None
             yield e
         at = end + packed
 
 
-def _rar5_extra(raw: bytes, e: Entry) -> None:
-    at = 0
+def _rar5_extra(raw: bytes, e: Entry) -> tuple[int, bytes, bytes, bytes] | None:
+    """Fills in what the extra records say; returns rounds, salt, vector and check of an
+    encrypted entry."""
+    at, crypt = 0, None
     while at < len(raw):
         n, at = _vint(raw, at)
         end = at + n
         kind, at = _vint(raw, at)
         if kind == 1:
             e.is_encrypted = True
+            _, at = _vint(raw, at)
+            flags, at = _vint(raw, at)
+            crypt = (raw[at], raw[at + 1 : at + 17], raw[at + 17 : at + 33], raw[at + 33 : at + 45] if flags & 1 else b"")
         elif kind == 2:
             _, at = _vint(raw, at)
             e.format_meta["blake2sp"] = raw[at : at + 32].hex()
@@ -484,3 +532,4 @@ def _rar5_extra(raw: bytes, e: Entry) -> None:
             length, at = _vint(raw, at)
             e.format_meta |= {"redirect_type": str(redirect), "redirect_flags": str(flags), "redirect_target": raw[at : at + length].decode("utf-8", "replace")}
         at = end
+    return crypt
