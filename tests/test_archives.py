@@ -225,6 +225,18 @@ def test_rar5_compressed_solid_and_encrypted():
     data = start + entry(b"a", packed, plain, 1 << 7) + entry(b"b", more, tail, 1 << 7 | 64) + five(b"\x05\0\0")
     assert read(data) == {"a": plain, "b": tail}
     assert list(detect.entries(data))[1].content() == tail  # alone: those before it are decoded first
+    # Over two volumes: the first part carries on in the second.
+    whole = b"first half, second half"
+
+    def part(flags, body, content):
+        fields = vint(len(body)) + b"\x04" + vint(len(whole)) + b"\0" + struct.pack("<I", zlib.crc32(content)) + b"\0" + bytes([0, 1]) + b"v"
+        return five(bytes([2, 2 | flags]) + fields) + body
+
+    one, two = start + part(16, whole[:11], whole[:11]) + five(b"\x05\0\x01"), start + part(8, whole[11:], whole) + five(b"\x05\0\0")
+    assert read(one + two) == {"v": whole}
+    e = next(iter(detect.entries(one + two)))
+    assert (e.volume_index_first, e.volume_index_last, e.is_complete, e.compressed_size) == (0, 1, True, len(whole))
+    assert not next(iter(detect.entries(one))).is_complete
     salt, iv = bytes(range(16)), bytes(range(16, 32))
     body = crypto.aes_cbc_encrypt(crypto.rar5_key("test", salt, 4), iv, b"sixteen letters!")
     extra = bytes([1, 0, 1, 4]) + salt + iv + crypto.rar5_check("test", salt, 4) + bytes(4)

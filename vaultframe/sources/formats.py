@@ -349,13 +349,17 @@ def rar_entries(data: bytes, o: Options, registry: Registry = DEFAULT) -> Iterat
     yield from _rar5(data, at + 8, o) if data[at + 6] == 1 else _rar4(data, at + 7, o)
 
 
-def _stored(data: bytes, e: Entry, stored: bool, body: int, packed: int) -> None:
+def _joined(data: bytes, e: Entry, pieces: list[tuple[int, int]]) -> bytes:
+    if not e.is_complete or pieces[-1][0] + pieces[-1][1] > len(data):
+        raise Incomplete("a part of the entry is missing")
+    return b"".join(data[at : at + n] for at, n in pieces)
+
+
+def _stored(data: bytes, e: Entry, stored: bool, pieces: list[tuple[int, int]]) -> None:
     def read() -> bytes:
         if e.is_encrypted or not stored:
             raise Unsupported("of rar before version 5, only stored entries are read")
-        if body + packed > len(data):
-            raise Incomplete("archive ends within an entry")
-        return data[body : body + packed]
+        return _joined(data, e, pieces)
 
     e.read = read
 
@@ -366,16 +370,14 @@ class _Rar5Stream:
     def __init__(self, data: bytes, o: Options):
         self.data, self.o, self.parts, self.decoder, self.next = data, o, [], rar5.Decoder(), 0
 
-    def put(self, e: Entry, method: int, body: int, packed: int, crypt: tuple[int, bytes, bytes, bytes] | None) -> None:
+    def put(self, e: Entry, method: int, pieces: list[tuple[int, int]], crypt: tuple[int, bytes, bytes, bytes] | None) -> None:
         at = len(self.parts)
-        self.parts.append((e, method, body, packed, crypt))
+        self.parts.append((e, method, pieces, crypt))
         e.read = lambda: self.read(at)
 
     def raw(self, at: int) -> bytes:
-        e, _, body, packed, crypt = self.parts[at]
-        if body + packed > len(self.data) or not e.is_complete:
-            raise Incomplete("a part of the entry is missing")
-        raw = self.data[body : body + packed]
+        e, _, pieces, crypt = self.parts[at]
+        raw = _joined(self.data, e, pieces)
         if crypt is None:
             return raw
         if self.o.password is None:
@@ -386,7 +388,7 @@ class _Rar5Stream:
         return crypto.aes_cbc_decrypt(crypto.rar5_key(self.o.password, salt, rounds), iv, raw)
 
     def read(self, at: int) -> bytes:
-        e, method, _, _, _ = self.parts[at]
+        e, method, _, _ = self.parts[at]
         _guard(e.size, len(self.data), self.o)
         if not method:
             return self.raw(at)[: e.size]
@@ -395,7 +397,7 @@ class _Rar5Stream:
             first -= 1
         out = b""
         for i in range(first, at + 1):
-            x, m, _, _, _ = self.parts[i]
+            x, m, _, _ = self.parts[i]
             if m and not x.is_directory:
                 out = self.decoder.unpack(self.raw(i), x.size, x.is_solid)
                 self.next = i + 1
@@ -403,7 +405,14 @@ class _Rar5Stream:
 
 
 def _rar4(data: bytes, at: int, o: Options) -> Iterator[Entry]:
+    """Volumes come one after another in data; an entry that goes on in the next one is
+    yielded when its last part has been seen."""
+    waiting: tuple[Entry, list[tuple[int, int]]] | None = None
+    volume = 0
     while at + 7 <= len(data):
+        if data[at : at + 7] == b"Rar!\x1a\x07\0":
+            at, volume = at + 7, volume + 1
+            continue
         _, kind, flags, n = struct.unpack_from("<HBHH", data, at)
         if n < 7:
             raise Damaged("rar header without a size")
@@ -412,8 +421,8 @@ def _rar4(data: bytes, at: int, o: Options) -> Iterator[Entry]:
             raise Damaged("rar header's checksum does not match")
         if kind == 0x73 and flags & 0x80:
             raise Unsupported("encrypted rar headers")
-        if kind == 0x7B:
-            return
+        if kind == 0x7B and data[at + n : at + n + 7] != b"Rar!\x1a\x07\0":
+            break
         if kind == 0x74:
             full, host, crc, time, version, method, length, attrib = struct.unpack_from("<IBIIBBHI", data, at + 11)
             i = at + 32
@@ -422,11 +431,25 @@ def _rar4(data: bytes, at: int, o: Options) -> Iterator[Entry]:
                 packed, full, i = packed | high << 32, full | high_full << 32, i + 8
             raw = data[i : i + length]
             name = raw.split(b"\0")[0].decode("utf-8", "replace") if flags & 0x200 and b"\0" not in raw else rar_name(raw) if flags & 0x200 else raw.decode(o.encoding, "replace")
-            e = Entry("Rar", name.replace("\\", "/"), "None" if method == 0x30 else "Rar", full, packed, crc, dos_time(time), is_directory=flags & 0xE0 == 0xE0, is_encrypted=bool(flags & 4), is_split_after=bool(flags & 2), is_solid=bool(flags & 16), is_complete=not flags & 3, attrib=attrib - (attrib >> 31 << 32), check=None if flags & 4 or flags & 0xE0 == 0xE0 else checksums.crc32)
+            e = Entry("Rar", name.replace("\\", "/"), "None" if method == 0x30 else "Rar", full, packed, crc, dos_time(time), is_directory=flags & 0xE0 == 0xE0, is_encrypted=bool(flags & 4), is_split_after=bool(flags & 2), is_solid=bool(flags & 16), is_complete=not flags & 3, volume_index_first=volume, volume_index_last=volume, attrib=attrib - (attrib >> 31 << 32), check=None if flags & 4 or flags & 0xE0 == 0xE0 else checksums.crc32)
             e.format_meta |= {"version": str(version), "host_os": str(host)}
-            _stored(data, e, method == 0x30, at + n, packed)
-            yield e
+            if flags & 1 and waiting and waiting[0].key == e.key:
+                e, part = waiting[0], e
+                waiting[1].append((at + n, packed))
+                e.compressed_size += packed
+                e.crc, e.volume_index_last, e.is_complete, e.is_split_after = part.crc, volume, not flags & 2, part.is_split_after
+            else:
+                if waiting:
+                    yield waiting[0]
+                pieces = [(at + n, packed)]
+                _stored(data, e, method == 0x30, pieces)
+                waiting = (e, pieces)
+            if not flags & 2:
+                waiting = None
+                yield e
         at += n + packed
+    if waiting:
+        yield waiting[0]
 
 
 def rar_name(raw: bytes) -> str:
@@ -462,8 +485,12 @@ def rar_name(raw: bytes) -> str:
 
 
 def _rar5(data: bytes, at: int, o: Options) -> Iterator[Entry]:
-    stream = _Rar5Stream(data, o)
+    stream, volume = _Rar5Stream(data, o), 0
+    waiting: tuple[Entry, list[tuple[int, int]]] | None = None
     while at + 7 <= len(data):
+        if data[at : at + 8] == b"Rar!\x1a\x07\x01\0":
+            at, volume = at + 8, volume + 1
+            continue
         crc = struct.unpack_from("<I", data, at)[0]
         n, i = _vint(data, at + 4)
         end = i + n
@@ -478,8 +505,8 @@ def _rar5(data: bytes, at: int, o: Options) -> Iterator[Entry]:
             packed, i = _vint(data, i)
         if kind == 4:
             raise Unsupported("encrypted rar headers")
-        if kind == 5:
-            return
+        if kind == 5 and data[end : end + 8] != b"Rar!\x1a\x07\x01\0":
+            break
         if kind == 2:
             own, i = _vint(data, i)
             full, i = _vint(data, i)
@@ -493,14 +520,28 @@ def _rar5(data: bytes, at: int, o: Options) -> Iterator[Entry]:
             host, i = _vint(data, i)
             length, i = _vint(data, i)
             name = data[i : i + length].decode("utf-8", "replace")
-            e = Entry("Rar", name, "None" if not method >> 7 & 7 else "Rar", full, packed, check or 0, mtime, is_directory=bool(own & 1), is_solid=bool(method & 64), is_split_after=bool(flags & 16), is_complete=not flags & 24, attrib=attrib if attrib < 1 << 31 else attrib - (1 << 32), check=checksums.crc32 if check is not None else None)
+            e = Entry("Rar", name, "None" if not method >> 7 & 7 else "Rar", full, packed, check or 0, mtime, is_directory=bool(own & 1), is_solid=bool(method & 64), is_split_after=bool(flags & 16), is_complete=not flags & 24, volume_index_first=volume, volume_index_last=volume, attrib=attrib if attrib < 1 << 31 else attrib - (1 << 32), check=checksums.crc32 if check is not None else None)
             e.format_meta |= {"version": str(50 + (method & 63)), "host_os": str(host)}
             crypt = _rar5_extra(data[end - extra : end], e)
-            stream.put(e, method >> 7 & 7, end, packed, crypt)
             if e.is_encrypted:
                 e.check = None
-            yield e
+            if flags & 8 and waiting and waiting[0].key == e.key:
+                e, part = waiting[0], e
+                waiting[1].append((end, packed))
+                e.compressed_size += packed
+                e.crc, e.check, e.volume_index_last, e.is_complete, e.is_split_after = part.crc, part.check, volume, not flags & 16, part.is_split_after
+            else:
+                if waiting:
+                    yield waiting[0]
+                pieces = [(end, packed)]
+                stream.put(e, method >> 7 & 7, pieces, crypt)
+                waiting = (e, pieces)
+            if not flags & 16:
+                waiting = None
+                yield e
         at = end + packed
+    if waiting:
+        yield waiting[0]
 
 
 def _rar5_extra(raw: bytes, e: Entry) -> tuple[int, bytes, bytes, bytes] | None:
