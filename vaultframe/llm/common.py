@@ -18,7 +18,7 @@ U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
 BASE = U(0x2545F4914F6CDD1D)
 #: Bytes of text that one numpy step works on at once; a longer text is a step alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True

@@ -25,7 +25,7 @@ from vaultframe.llm.common import GOLD, U, batch, chunks, hashes, mix64, packs,
 
 LENGTH, GRAM = 200, 40
 #: Bytes of segments in one suffix array.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 19
 _BYTES, _OTHER = symbols(np.arange(256, dtype=np.uint8), 11), symbols(np.arange(256, dtype=np.uint8), 13)
 
 
@@ -240,7 +240,7 @@ def _segment_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if times < 2:
                     sent[f, g] = times + 1
                 rows.append(raw[a : z + LENGTH] if times < 2 else None)
-            if len(sent) > 300_000:
+            if len(sent) > 100_000:
                 sent = {}
             yield batch(SEGMENTS, k1[t.lo + doc], k2[t.lo + doc], (lo - t.offs[doc]).astype(np.int32), n.astype(np.int32), f1, f2, h.view(np.int64), rows)
 
