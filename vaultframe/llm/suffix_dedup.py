@@ -196,13 +196,21 @@ FOUND = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("runs", pa.list_(pa.
 
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32())])
+    """Each text's anchors by gram, a row for each gram with all its places: a gram that
+    a text repeats thousands of times is one row."""
+    schema = pa.schema([("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("places", pa.list_(pa.int32()))])
     for b in batches:
         k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
         for t in chunks(b.column("text")):
             h, at, _, _ = anchors(t)
             doc = np.searchsorted(t.offs, at, "right") - 1
-            yield batch(schema, h.view(np.int64), k1[t.lo + doc], k2[t.lo + doc], (at - t.offs[doc]).astype(np.int32))
+            order = np.lexsort((h, doc))
+            h, at, doc = h[order], at[order], doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            lists = pa.ListArray.from_arrays(np.append(first, len(h)).astype(np.int32), pa.array((at - t.offs[doc]).astype(np.int32)))
+            yield batch(schema, h[first].view(np.int64), k1[t.lo + doc[first]], k2[t.lo + doc[first]], lists)
 
 
 def _segment_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +297,9 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     raw = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("k1", F.xxhash64(raw)).withColumn("k2", F.xxhash64(F.lit(1), F.lit(7), raw))
     texts = keyed.filter(F.octet_length("text") >= LENGTH).select("k1", "k2", "text")
-    found = written(texts.mapInArrow(_anchor_rows, "h long, k1 long, k2 long, pos int"), "anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    places = found.join(again, "h").groupBy("k1", "k2").agg(F.collect_set("pos").alias("places"))
+    found = written(texts.mapInArrow(_anchor_rows, "h long, k1 long, k2 long, places array<int>"), "anchors")
+    again = found.groupBy("h").agg(F.sum(F.size("places")).alias("n")).filter("n > 1").select("h")
+    places = found.join(again, "h").groupBy("k1", "k2").agg(F.flatten(F.collect_set("places")).alias("places"))
     places = written(places, "places")
     _free(spark)
     joined = texts.join(places, ["k1", "k2"]).sortWithinPartitions("k1", "k2")
