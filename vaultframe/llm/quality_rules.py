@@ -7,6 +7,7 @@ for a histogram to mean anything are spared the divergence rules."""
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from vaultframe.llm.common import WHITE, U, Words, batch, chunks, hashes, symbols, windows, written
 
-#: Common words of a language; languages with a reference at most.
-COMMON, LANGUAGES = 64, 1000
+#: Common words of a language.
+COMMON = 64
+#: Counts of common words, over all languages, that one numpy step holds.
+CELLS = 4_000_000
 #: Words from which the word histogram counts, and the character histogram.
 MIN_WORDS, MIN_CHAR_WORDS = 60, 20
 #: Largest Jensen-Shannon distance (0 to 1) from the nearest language.
@@ -113,12 +116,15 @@ def references(docs: DataFrame, common: int = COMMON) -> list[tuple[np.ndarray,
     its number of words. Rows without a lang are a language of their own."""
     n = docs.select("lang", "text").mapInArrow(_counts, "lang string, kind int, h long, n long").groupBy("lang", "kind", "h").agg(F.sum("n").alias("n"))
     n = written(n, "histograms")
-    total = n.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("words")).orderBy(F.desc("words")).limit(LANGUAGES)
+    total = n.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("words"))
     top = n.filter("kind = 1").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "h"))).filter(F.col("r") <= common)
     rows = n.filter("kind = 0").select("lang", "kind", "h", "n").union(top.select("lang", "kind", "h", "n")).union(total.select("lang", F.lit(2), F.lit(0), "words")).collect()
+    by: dict[str | None, list] = defaultdict(list)
+    for r in rows:
+        by[r[0]].append(r)
     out = []
     for lang in sorted({r[0] for r in rows if r[1] == 2}, key=str):
-        own = [r for r in rows if r[0] == lang]
+        own = by[lang]
         chars = np.zeros(CLASSES, np.int64)
         for r in own:
             if r[1] == 0:
@@ -153,15 +159,18 @@ def judged(docs: DataFrame, common: int = COMMON, max_char: float = MAX_CHAR, ma
                 base = base_rules(t, Words(t, ~WHITE, symbols(_PLAIN, 3)))
                 char = np.min([distance(char_classes(t).astype(float), c) for c in chars], axis=0) if chars else np.zeros(n)
                 word = np.zeros(n)
-                if len(table):
-                    at = np.searchsorted(table, w.hash).clip(max=len(table) - 1)
-                    hit = table[at] == w.hash
-                    counts = np.bincount(w.doc[hit].astype(np.int64) * len(table) + at[hit], minlength=n * len(table)).reshape(n, -1)
+                size = max(1, CELLS // max(1, len(table)))
+                for lo in range(0, n if len(table) else 0, size):
+                    hi = min(n, lo + size)
+                    own_words = slice(w.first[lo], w.first[hi])
+                    at = np.searchsorted(table, w.hash[own_words]).clip(max=len(table) - 1)
+                    hit = table[at] == w.hash[own_words]
+                    counts = np.bincount((w.doc[own_words][hit].astype(np.int64) - lo) * len(table) + at[hit], minlength=(hi - lo) * len(table)).reshape(hi - lo, -1)
                     each = []
                     for c, s in zip(columns, shares, strict=True):
                         own = counts[:, c]
-                        each.append(distance(np.concatenate([own, (base["n_words"] - own.sum(1))[:, None]], axis=1).astype(float), s))
-                    word = np.min(each, axis=0)
+                        each.append(distance(np.concatenate([own, (base["n_words"][lo:hi] - own.sum(1))[:, None]], axis=1).astype(float), s))
+                    word[lo:hi] = np.min(each, axis=0)
                 failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
                 fine = ((base["n_words"] < MIN_CHAR_WORDS) | (char <= max_char)) & ((base["n_words"] < MIN_WORDS) | (word <= max_word))
                 yield batch(JUDGED, ids.slice(t.lo, n), *base.values(), failed, ~failed & fine, char, word)
