@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from vaultframe.llm.common import UnionFind, written
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Keys of more than one in SHARE of all rows are hot; there are at most SHARE of these.
+SHARE = 1000
 
 
 def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,20 +41,32 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def hot_join(rows: DataFrame, facts: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined with facts (one row for each key, n: how many of the total rows have
+    it). Keys of more than one in SHARE of the rows, of which there can only be SHARE,
+    go by broadcast, all others by shuffle; so no task gets all rows of a hot key."""
+    bound = max(1, total // SHARE)
+    hubs = F.broadcast(facts.filter(F.col("n") > bound).drop("n"))
+    others = facts.filter(F.col("n") <= bound).drop("n")
+    return rows.join(hubs, on).unionByName(rows.join(hubs.select(*on), on, "left_anti").join(others, on))
+
+
+def components(links: DataFrame) -> DataFrame:
     """links (a, b long) -> (node, component): component is the smallest node reachable.
-    Nodes without links do not appear; nulls and self-links are ignored. An empty table
-    gives an empty result."""
+    Nodes without links do not appear; nulls and self-links are ignored, repeated links
+    count once. An empty table gives an empty result. Rounds go on until none changes
+    anything, however long the chains."""
     links = links.filter("a is not null and b is not null and a <> b").select("a", "b")
     links = written(links.mapInArrow(_contract, "a long, b long"), "links")
     before = _state(links)
-    for _ in range(rounds):
+    while True:
+        total = before[0]
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = hot_join(both, least, ["a"], 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = low.groupBy("a").agg(F.min("b").alias("m"))
-        small = low.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        least = low.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = hot_join(low, least, ["a"], total).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         links = written(small, "stars")
         now = _state(links)
         if now == before:
