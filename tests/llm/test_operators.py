@@ -247,7 +247,7 @@ def contaminated_by_hand(rows, bench, k=10):
         if w:
             n = min(k, len(w))
             for i in range(len(w) - n + 1):
-                grams[tuple(w[i : i + n])].add(str(item))
+                grams[tuple(w[i : i + n])].add(None if item is None else str(item))
     sizes = {len(g) for g in grams}
     out = []
     for d, b in rows:
@@ -257,19 +257,20 @@ def contaminated_by_hand(rows, bench, k=10):
                 if (g := tuple(w[i : i + n])) in grams:
                     hit |= set(range(i, i + n))
                     items |= grams[g]
-        out.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
+        out.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(x for x in items if x is not None)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=key)
 
 
 def test_decontamination(spark, docs, odd, none):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
-    short = spark.createDataFrame([(1, "Customs HOUSE while rain"), (10, "x y"), (2, ""), (3, None), (7, "near the old customs house while rain fell softly on the boats that nobody")], "item_id long, text string")
+    short = spark.createDataFrame([(1, "Customs HOUSE while rain"), (10, "x y"), (2, ""), (3, None), (None, "runs five runs rain fell softly"), (None, "and only one lamp burned near the old customs house while"), (7, "near the old customs house while rain fell softly on the boats that nobody")], "item_id long, text string")
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     for df, b in ((docs, bench), (odd, short), (none, bench), (odd, short.limit(0))):
         items = [(r.item_id, (r.text or "").encode()) for r in b.collect()]
         want = contaminated_by_hand(raw(df), items)
         assert result(decontam.contamination(df, b), *names) == want
         assert decontam.decontaminated(df, b).count() == sum(not w[-1] for w in want)
+    assert decontam.decontaminated(odd, short, max_windows=2).count() == decontam.decontaminated(odd, short).count()
     assert result(decontam.contamination(odd, short, max_windows=2), *names) == contaminated_by_hand(raw(odd), [(r.item_id, (r.text or "").encode()) for r in short.collect()])
 
 
