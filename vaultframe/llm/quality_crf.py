@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from vaultframe.llm.common import WHITE, Words, batch, chunks, hashes, symbols
 
-#: Labelled documents that a fit uses at most, the first by hash of their id; of each,
-#: so many lines at most. Documents of more bytes aren't used for fitting.
-SAMPLE, SAMPLE_LINES, SAMPLE_BYTES = 4000, 200, 200_000
+#: Labelled documents that a fit uses at most, the first by hash of their id, and bytes
+#: of these: where texts are long, fewer of them are used, each one whole.
+SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -105,37 +105,52 @@ def lines(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([own, prev, after], axis=1), first_line, chars
 
 
+def running(m: np.ndarray, block: int = 64) -> np.ndarray:
+    """Products m[0] @ ... @ m[i] of 2 x 2 matrices for every i, each up to a factor.
+    Blocks advance together, and their products are treated in the same way."""
+    n = len(m)
+    if n <= 1:
+        return m
+    k = -(-n // block)
+    out = np.empty((k, block, 2, 2))
+    padded = out.reshape(-1, 2, 2)
+    padded[:n], padded[n:] = m, np.eye(2)
+    for j in range(1, block):
+        x = out[:, j - 1] @ out[:, j]
+        out[:, j] = x / x.max((1, 2), keepdims=True)
+    if k > 1:
+        before = running(out[:, -1].copy(), block)[:-1]
+        x = before[:, None] @ out[1:]
+        out[1:] = x / x.max((2, 3), keepdims=True)
+    return out.reshape(-1, 2, 2)[:n]
+
+
 def marginals(score: np.ndarray, pair: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward on all chains at once. score: log weight of bad over good of
     each line; pair: 2 x 2 log weights of consecutive labels. Returns each line's
-    probability of bad, and the expected count of each pair."""
+    probability of bad, and the expected count of each pair.
+
+    A line's matrix holds the weights of its label after each label of the line before;
+    that of a chain's first line has equal rows, so that a product over all lines of all
+    chains starts anew there, and the work doesn't hang on the longest chain."""
     n = len(score)
-    long = np.diff(first)
-    order = np.argsort(-long, kind="stable")
-    begin, long = first[:-1][order], long[order]
-    node = np.stack([np.zeros(n), score], axis=1)
-    ahead, back = np.zeros((n, 2)), np.zeros((n, 2))
-    steps = int(long[0]) if len(long) else 0
-    active = np.searchsorted(-long, -np.arange(steps + 1), "left")  # chains longer than t
-    for t in range(steps):
-        i = begin[: active[t]] + t
-        if t == 0:
-            ahead[i] = node[i]
-        else:
-            x = ahead[i - 1][:, :, None] + pair
-            ahead[i] = np.logaddexp(x[:, 0], x[:, 1]) + node[i]
-        ahead[i] -= ahead[i].max(1, keepdims=True)
-    expected = np.zeros((2, 2))
-    for t in range(steps - 2, -1, -1):
-        i = begin[: active[t + 1]] + t
-        x = (back[i + 1] + node[i + 1])[:, None, :] + pair
-        back[i] = np.logaddexp(x[:, :, 0], x[:, :, 1])
-        back[i] -= back[i].max(1, keepdims=True)
-        joint = ahead[i][:, :, None] + x
-        joint = np.exp(joint - joint.max((1, 2), keepdims=True))
-        expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-    both = ahead + back
-    return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700))), expected
+    if not n:
+        return np.zeros(0), np.zeros((2, 2))
+    node = np.stack([np.minimum(0, -score), np.minimum(0, score)], axis=1)
+    begin = np.zeros(n, bool)
+    begin[first[:-1][np.diff(first) > 0]] = True
+    step = np.exp(np.maximum(node[:, None, :] + np.where(begin[:, None, None], 0.0, pair - pair.max()), -300))
+    ahead = running(step)[:, 0]
+    # Backwards: the products from the right, by transposed matrices in reverse order.
+    back = np.ones((n, 2))
+    if n > 1:
+        back[:-1] = running(step[:0:-1].transpose(0, 2, 1))[::-1].sum(1)
+    back /= back.max(1, keepdims=True)
+    both = ahead * back
+    inner = np.flatnonzero(~begin)
+    joint = ahead[inner - 1][:, :, None] * step[inner] * back[inner][:, None, :]
+    expected = (joint / np.maximum(joint.sum((1, 2), keepdims=True), 1e-300)).sum(0)
+    return both[:, 1] / np.maximum(both.sum(1), 1e-300), expected
 
 
 class Field:
@@ -181,7 +196,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t in chunks(b.column("text")):
             x, first, chars = lines(t)
-            rows = [(x[lo:hi][:SAMPLE_LINES].astype(np.int16).tobytes(), chars[lo:hi][:SAMPLE_LINES].tobytes()) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            rows = [(x[lo:hi].astype(np.int16).tobytes(), chars[lo:hi].tobytes()) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield batch(schema, b.column("doc_id").slice(t.lo, len(t)), b.column("good").slice(t.lo, len(t)), [r[0] for r in rows], [r[1] for r in rows])
 
 
@@ -190,14 +205,33 @@ def held_out(doc_id, folds: int = FOLDS):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def sampled(docs: DataFrame, known: DataFrame, label: str, rows: int, size: int) -> DataFrame:
+    """doc_id, text and label of labelled documents (known: doc_id, label 0 or 1): of
+    either label the first by hash of the id, up to half of rows and, but for the first
+    of them, half of size bytes. Texts are whole; of null texts nothing is learned."""
+    half = [known.filter(F.col(label) == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for g in (0, 1)]
+    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(half[0].union(half[1])), "doc_id")
+    sizes = texts.select("doc_id", label, F.octet_length("text").alias("n")).groupBy("doc_id", label).agg(F.sum("n").alias("n")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").collect()
+    chosen: list[int] = []
+    for g in (0, 1):
+        left = size // 2
+        for i, r in enumerate(x for x in sizes if x[label] == g):
+            left -= r.n
+            if left < 0 and i:
+                break
+            chosen.append(r.doc_id)
+    if len(chosen) == len(sizes):
+        return texts
+    kept = docs.sparkSession.createDataFrame([(x,) for x in chosen], "doc_id long")
+    return texts.join(F.broadcast(kept), "doc_id", "left_semi")
+
+
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """The field, from labels (doc_id, quality) outside the held-out fold. Labels that
     are null are ignored; of several for a document the mean decides. Without labels of
     both kinds the field knows nothing and all texts score alike."""
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
-    half = [known.filter(F.col("good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for g in (0, 1)]
-    chosen = half[0].union(half[1])
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= SAMPLE_BYTES)
+    texts = sampled(docs, known, "good", sample, SAMPLE_BYTES)
     rows = sorted(texts.mapInArrow(_features, "doc_id long, good int, x binary, chars binary").collect())
     field = Field()
     good = np.array([r[1] for r in rows], np.int64)
@@ -235,8 +269,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     """docs (doc_id, text, ...), labels (doc_id, quality, ...) -> doc_id, held_out, score
     (0 to 1, higher: better), predicted, n_lines, bad_share.
 
-    A row for each row. Null and empty texts have no lines; they score as wholly bad.
-    Other columns are ignored."""
+    A row for each row, repeated ones too, each scored on its whole text however long.
+    Null and empty texts have no lines; they score as wholly bad. An empty table gives
+    an empty result; without labels all texts score alike. Other columns, of any name,
+    are ignored."""
     field = fitted(docs, labels)
 
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +287,9 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that score at least threshold."""
+    """The rows of docs, all columns of whatever names, that score at least threshold, by
+    their whole texts. Null and empty texts score as wholly bad; repeated rows and those
+    of null or shared ids are judged each by its own text; an empty table stays empty."""
     field = fitted(docs, labels)
 
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
