@@ -6,7 +6,10 @@ of the vocabulary's tokens that end there, exactly one is such that it and the s
 prefix's last token are what their joined bytes encode to. So one pass over the bytes
 gives the last token, and with it the count, of every prefix. A text's counts at piece
 ends are running sums; within a piece the piece's own row of counts is added. A cut or
-a budget is then a binary search and never encodes anything again."""
+a budget is then a binary search and never encodes anything again.
+
+Texts are cut into pieces and these told apart by hash, many texts at once; each
+distinct piece's row is made once for a worker."""
 
 from __future__ import annotations
 
@@ -18,13 +21,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from vaultframe.llm.common import batch, chunks
+from vaultframe.llm.common import CHUNK_BYTES, GOLD, U, Texts, batch, chunks, hashes, mix64
 
 LIMIT = 512
 #: How byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters beyond those whose classes have long been settled.
 LATER = regex.compile(r"[^\x00-\u052F\u1E00-\u1FFF\u2010-\u2060]")
+#: Code points from here on are left to the library's own classes.
+SETTLED = 0x2061
+OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Distinct pieces that a worker remembers.
 REMEMBERED = 300_000
 
@@ -66,6 +72,12 @@ class PrefixCounter:
         self.path = path
         self._fits: dict[tuple[bytes, bytes], bool] = {}
         self._counts: dict[str, int] = {}
+        self._by_hash: dict[int, int] = {}
+        points = [chr(i) for i in range(SETTLED + 1)]
+        self.kind = np.array([LETTER if regex.match(r"\p{L}", c) else NUMBER if regex.match(r"\p{N}", c) else SPACE if regex.match(r"\s", c) else OTHER for c in points], np.uint8)
+        self.later = np.array([bool(LATER.match(c)) for c in points])
+        self.later[SETTLED] = True
+        self.symbol = mix64(np.arange(1, SETTLED + 2, dtype=U) * GOLD)
 
     def encode(self, piece: bytes) -> list[bytes]:
         """Merges by rank, for short byte strings."""
@@ -223,11 +235,111 @@ class PrefixCounter:
         return out
 
     def fitting(self, text: str, limit: int = LIMIT) -> int:
-        """Length of the longest prefix that ends with a piece and has at most limit
-        tokens."""
+        """Characters of the longest prefix that has at most limit tokens."""
         names, c = self.ends(text)
         k = int(np.searchsorted(c, limit, "right"))
-        return sum(map(len, names[:k]))
+        if k == len(names):
+            return len(text)
+        while names[k].isspace() and k + 1 < len(names):
+            k += 1
+        row = self.prefixes(text[: sum(map(len, names[: k + 1]))])
+        return int(np.flatnonzero(row <= limit)[-1])
+
+    def starts(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where pieces start in the joined code points of some texts (which start at
+        first), none of them of a later script."""
+        n = len(points)
+        kind = self.kind[points]
+        new = np.zeros(n + 3, bool)
+        new[first] = True
+        fresh = new[:n].copy()
+        space = kind == SPACE
+        # A piece ends where the class changes, but one space goes with what follows.
+        new[1:n] |= (kind[1:] != kind[:-1]) & ~(space[:-1] & ~space[1:] & (points[:-1] == 0x20))
+        # The last of several spaces before something else is apart from the others.
+        last = np.flatnonzero(space[1:-1] & space[:-2] & ~space[2:] & ~fresh[2:] & ~fresh[1:-1]) + 1
+        new[last] = True
+        # Contractions: a mark that starts a piece, and letters after it in its text.
+        mark = np.flatnonzero((points == 0x27) & new[:n])
+        padded = np.concatenate([points, np.zeros(3, points.dtype)])
+        inside = np.concatenate([~fresh, np.zeros(3, bool)])
+        one, two = padded[mark + 1], padded[mark + 2]
+        short = inside[mark + 1] & np.isin(one, [ord(c) for c in "stmd"])
+        pair = (one.astype(np.int64) << 16) | two
+        long = inside[mark + 1] & inside[mark + 2] & np.isin(pair, [ord(x) << 16 | ord(y) for x, y in ("re", "ve", "ll")])
+        new[mark[short | long] + 1] = False
+        new[mark[short] + 2] = True
+        new[mark[long] + 3] = True
+        return np.flatnonzero(new[:n])
+
+    def measured(self, t: Texts, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, pieces and fitting characters of each text."""
+        if len(t) == 1 and len(t.data) > 2 * CHUNK_BYTES:
+            return self._long(t, limit)
+        n = len(t)
+        raw = t.data.tobytes().decode()
+        points = np.minimum(np.frombuffer(raw.encode("utf-32-le"), np.uint32), SETTLED)
+        offs = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])[t.offs]
+        slow = np.zeros(n, bool)
+        odd = np.flatnonzero(self.later[points])
+        if self.cut:
+            odd = np.concatenate([odd, np.array([m.start() for m in self.cut.finditer(raw)], np.int64)])
+        slow[np.searchsorted(offs, odd, "right") - 1] = True
+        at = self.starts(points, offs[:-1][np.diff(offs) > 0]) if len(points) else np.zeros(0, np.int64)
+        ends = np.append(at[1:], len(points))[: len(at)]
+        h, index, which = np.unique(hashes(points, at, ends, self.symbol), return_index=True, return_inverse=True)
+        known = self._by_hash
+        if len(known) > REMEMBERED:
+            known.clear()
+        each = np.zeros(len(h), np.int64)
+        a, z = at[index].tolist(), ends[index].tolist()
+        for i, x in enumerate(h.tolist()):
+            got = known.get(x)
+            if got is None:
+                got = known[x] = self.count(raw[a[i] : z[i]])
+            each[i] = got
+        total = np.concatenate([[0], np.cumsum(each[which])])
+        first = np.searchsorted(at, offs)
+        tokens, pieces, fit = total[first[1:]] - total[first[:-1]], np.diff(first), np.diff(offs)
+        for i in np.flatnonzero((tokens > limit) & ~slow).tolist():
+            lo, hi = int(first[i]), int(first[i + 1])
+            k = int(np.searchsorted(total[lo + 1 : hi + 1], total[lo] + limit, "right")) + lo
+            j, m = k, k  # with the white space around, of which a prefix may end within
+            while j > lo and raw[at[j - 1] : ends[j - 1]].isspace():
+                j -= 1
+            while m + 1 < hi and raw[at[m] : ends[m]].isspace():
+                m += 1
+            row = int(total[j] - total[lo]) + self._plain(raw[at[j] : ends[m]])
+            fit[i] = at[j] - offs[i] + np.flatnonzero(row <= limit)[-1]
+        for i in np.flatnonzero(slow).tolist():
+            text = raw[offs[i] : offs[i + 1]]
+            names, c = self.ends(text)
+            tokens[i], pieces[i], fit[i] = int(c[-1]) if len(c) else 0, len(names), self.fitting(text, limit)
+        return tokens, pieces, fit
+
+    def _long(self, t: Texts, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One long text, in parts: no piece runs on from something that isn't white
+        space to white space."""
+        data = t.data
+        if self.cut and self.cut.search(data.tobytes().decode()):
+            text = data.tobytes().decode()
+            names, c = self.ends(text)
+            return np.array([c[-1]]), np.array([len(names)]), np.array([self.fitting(text, limit)])
+        blank = (data == 0x20) | ((data >= 9) & (data <= 13))
+        cuts = [0]
+        can = np.flatnonzero(blank[1:] & ~blank[:-1] & (data[:-1] < 0x80) & ~((data[:-1] >= 0x1C) & (data[:-1] <= 0x1F))) + 1
+        while cuts[-1] < len(data):
+            x = np.searchsorted(can, cuts[-1] + CHUNK_BYTES)
+            cuts.append(int(can[x]) if x < len(can) else len(data))
+        sums, fit, open_ = np.zeros(2, np.int64), 0, True
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            # Two rows of one part keep it from being taken for a long text again.
+            tokens, pieces, f = self.measured(Texts(data[lo:hi], np.array([0, hi - lo, hi - lo]), 0, 2), max(0, limit - int(sums[0])))
+            if open_:
+                fit += int(f[0])
+                open_ = sums[0] + tokens[0] <= limit
+            sums += int(tokens[0]), int(pieces[0])
+        return sums[:1], sums[1:], np.array([fit])
 
 
 _LOADED: dict[str, PrefixCounter] = {}
@@ -245,23 +357,35 @@ COUNTED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_bytes, n_tokens, over_limit (more than limit
-    tokens), n_pieces, fitting_chars (characters of the pieces that fit in the limit).
-
-    path: the vocabulary file, at the same place on every executor. A row for each row;
-    a null text counts as empty, with no tokens. Special strings within a text count as
-    one token, as the library's default has it. Other columns are ignored."""
+    tokens), n_pieces, fitting_chars (characters of the longest prefix that has at most
+    limit tokens).
+
+    path: the vocabulary file, at the same place on every executor. A row for each row,
+    repeated ones too, of whole texts however long; a null text counts as empty, with no
+    tokens; an empty table gives an empty result. Of prefixes with equally many tokens
+    the longest counts. Special strings within a text count as one token, as the
+    library's default has it. Other columns, of any name, are ignored."""
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(path)
         for b in batches:
             ids = b.column("doc_id")
             for t in chunks(b.column("text")):
-                total, pieces, fit = [], [], []
-                for i in range(len(t)):
-                    names, c = counter.ends(t.text(i).decode())
-                    total.append(int(c[-1]) if len(c) else 0)
-                    pieces.append(len(names))
-                    fit.append(sum(map(len, names[: int(np.searchsorted(c, limit, "right"))])))
-                n = np.array(total, np.int64)
+                n, pieces, fit = counter.measured(t, limit)
                 yield batch(COUNTED, ids.slice(t.lo, len(t)), np.diff(t.offs), n, n > limit, pieces, fit)
 
     return docs.select("doc_id", "text").mapInArrow(step, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_pieces long, fitting_chars long")
+
+
+def prefix_table(docs: DataFrame, path: str) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, counts: the token count of the text's prefix of
+    0, 1, ... characters, so that counts[k] answers what a cut after k characters leaves.
+    Null texts count as empty and have the one count 0; otherwise as token_counts."""
+    schema = pa.schema([("doc_id", pa.int64()), ("counts", pa.list_(pa.int32()))])
+
+    def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = loaded(path)
+        for b in batches:
+            for t in chunks(b.column("text")):
+                yield batch(schema, b.column("doc_id").slice(t.lo, len(t)), [counter.prefixes(t.text(i).decode()) for i in range(len(t))])
+
+    return docs.select("doc_id", "text").mapInArrow(step, "doc_id long, counts array<int>")
