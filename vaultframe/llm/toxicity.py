@@ -1,7 +1,7 @@
 """Toxicity from a fuzzy lexicon and the context of its matches.
 
-The lexicon is learned from labelled training documents: words, and stems that several
-words share, found in toxic documents and hardly elsewhere. It becomes a trie. Words are
+The lexicon is learned from labelled training documents: all words, and stems that
+several words share, that the labels prove to go with toxic documents. It becomes a trie. Words are
 run through the trie together with Levenshtein automata: a state is the set of (trie
 node, edits so far) that the letters read can have led to, so that one step per letter
 follows all terms and all misspellings at once; states are made when first needed and
@@ -10,7 +10,7 @@ abuse, and a logistic curve over the counts gives the score."""
 
 from __future__ import annotations
 
-import re
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -19,15 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import batch, chunks
-from vaultframe.llm.quality_crf import held_out
+from vaultframe.llm.common import Texts, Words, batch, chunks, symbols, written
+from vaultframe.llm.quality_crf import held_out, sampled
 
-#: Labelled documents that a fit uses at most, of either label half; documents of more
-#: bytes aren't used for fitting. Terms of the lexicon at most.
-SAMPLE, SAMPLE_BYTES, TERMS = 20_000, 200_000, 500
+#: Labelled documents that a fit uses at most, of either label half, and bytes of these:
+#: where texts are long, fewer of them are used, each one whole.
+SAMPLE, SAMPLE_BYTES = 20_000, 128 << 20
 THRESHOLD = 0.5
-#: Toxic documents that a term needs, and how many times likelier it must be there.
-SUPPORT, LIFT = 6, 12.0
+#: Toxic documents that a term needs, how many times likelier it must be there, and with
+#: what probability any term at all may be taken by chance.
+SUPPORT, LIFT, CHANCE = 6, 12.0, 0.01
 STEM = (3, 10)
 WINDOW = 8
 #: Words that introduce what others said, in the languages of the corpus.
@@ -36,7 +37,23 @@ QUOTES = "\"“”„«»‹›"
 #: What a match inside a quotation counts, against one that is not.
 QUOTED = 0.25
 
-_WORDS = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+_WORDS = np.array([c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256)], np.uint8)
+_LETTERS = np.arange(256) != 0x20
+_SYMBOLS = symbols(np.arange(256, dtype=np.uint8), 17)
+
+
+def split(t: Texts) -> tuple[Words, bytes]:
+    """Words of letters, with hashes, and the bytes that they lie in: A-Z lower-cased; the signs of Latin-1 and general
+    punctuation, quote marks among them, are no letters."""
+    data = _WORDS[t.data]
+    n = len(data)
+    if n > 2:
+        i = np.flatnonzero((data[:-2] == 0xE2) & ((data[1:-1] & 0xFE) == 0x80))
+        data[i] = data[i + 1] = data[i + 2] = 0x20
+    if n > 1:
+        i = np.flatnonzero(data[:-1] == 0xC2)
+        data[i] = data[i + 1] = 0x20
+    return Words(Texts(data, t.offs, t.lo, t.hi), _LETTERS, _SYMBOLS), data.tobytes()
 
 
 class Lexicon:
@@ -45,7 +62,8 @@ class Lexicon:
     def __init__(self, terms: list[tuple[str, bool]]):
         self.terms = terms
         self.next: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[int, bool] | None] = [None]
+        self.words: list[int] = [-1]  # the term that ends at a node, as a word and as a stem
+        self.begins: list[int] = [-1]
         self.room = [0]  # most edits that any term below a node allows
         for i, (text, stem) in enumerate(terms):
             at, edits = 0, self.edits(text, stem)
@@ -54,11 +72,12 @@ class Lexicon:
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
                     self.next.append({})
-                    self.ends.append(None)
+                    self.words.append(-1)
+                    self.begins.append(-1)
                     self.room.append(0)
                 at = self.next[at][c]
                 self.room[at] = max(self.room[at], edits)
-            self.ends[at] = (i, stem)
+            (self.begins if stem else self.words)[at] = i
         self.reset()
 
     @staticmethod
@@ -92,9 +111,9 @@ class Lexicon:
             got = self.number[pairs] = len(self.states)
             self.states.append(pairs)
             self.moves.append({})
-            ends = [(e, self.ends[n][0]) for n, e in pairs if self.ends[n] and not self.ends[n][1] and e <= self.edits(*self.terms[self.ends[n][0]])]
+            ends = [(e, w) for n, e in pairs if (w := self.words[n]) >= 0 and e <= self.edits(*self.terms[w])]
             self.accepts.append(min(ends) if ends else None)
-            stems = [self.ends[n][0] for n, e in pairs if self.ends[n] and self.ends[n][1] and e == 0]
+            stems = [self.begins[n] for n, e in pairs if self.begins[n] >= 0 and e == 0]
             self.stems.append(stems[0] if stems else -1)
         return got
 
@@ -110,8 +129,8 @@ class Lexicon:
         return to
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(term, edits) of the nearest term; a stem matches what begins with it and
-        goes on."""
+        """(term, edits): the word itself, else a stem that it begins with and goes on
+        after, else the nearest term."""
         if len(self.states) > 200_000:
             self.reset()
         at, moves, stem = 0, self.moves, -1
@@ -122,9 +141,9 @@ class Lexicon:
                 stem = self.stems[at]
             if not self.states[at]:
                 break
-        if stem >= 0:
-            return stem, 0
         got = self.accepts[at]
+        if stem >= 0 and not (got and got[0] == 0):
+            return stem, 0
         return (got[1], got[0]) if got else None
 
 
@@ -135,8 +154,9 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t in chunks(b.column("text")):
             toxic = b.column("toxic").slice(t.lo, len(t)).to_pylist()
+            w, data = split(t)
             for i in range(len(t)):
-                words = {w.decode() for w in set(t.text(i).translate(_WORDS).split())}
+                words = {x.decode() for x in set(data[t.offs[i] : t.offs[i + 1]].split())}
                 keys = {(w, False) for w in words} | {(w[:k], True) for w in words for k in range(STEM[0], min(STEM[1], len(w)))}
                 for key in keys:
                     counts.setdefault(key, [0, 0])[0 if toxic[i] else 1] += 1
@@ -147,23 +167,21 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, [k[0] for k in counts], [k[1] for k in counts], [v[0] for v in counts.values()], [v[1] for v in counts.values()])
 
 
-def _learn(rows: list[tuple[str, bool, int, int]], terms: int) -> list[tuple[str, bool]]:
+def _learn(rows: list[tuple[str, bool, int, int]]) -> list[tuple[str, bool]]:
+    """Lexicon from terms that the labels prove toxic: stems that are found far more often
+    than any one word that begins with them, none within another, and all words."""
     words = {r[0]: r[2] for r in rows if not r[1]}
     most: Counter = Counter()
     for w, n in words.items():
         for k in range(STEM[0], min(STEM[1], len(w))):
             most[w[:k]] = max(most[w[:k]], n)
-    chosen: list[tuple[str, bool]] = []
+    taken: set[str] = set()  # stems and what they begin with
     stems: list[str] = []
-    found = {r[0]: r[2] for r in rows if r[1]}
-    for s, n in sorted(found.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
-        if n >= 2 * max(SUPPORT, most[s]) and not any(s.startswith(x) or x.startswith(s) for x in stems):
+    for s, n in sorted(((r[0], r[2]) for r in rows if r[1]), key=lambda x: (-x[1], -len(x[0]), x[0])):
+        if n >= 2 * max(SUPPORT, most[s]) and s not in taken and not any(s[:k] in stems for k in range(STEM[0], len(s))):
             stems.append(s)
-    chosen += [(s, True) for s in stems[: terms // 2]]
-    for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
-        if len(chosen) < terms and not any(w.startswith(s) and len(w) > len(s) for s, stem in chosen if stem):
-            chosen.append((w, False))
-    return chosen
+            taken |= {s[:k] for k in range(1, len(s) + 1)}
+    return [(s, True) for s in stems] + [(w, False) for w in sorted(words, key=lambda w: (-words[w], w))]
 
 
 class Scorer:
@@ -172,48 +190,61 @@ class Scorer:
     def __init__(self, terms: list[tuple[str, bool]], curve: np.ndarray | None = None):
         self.terms, self.curve = terms, curve
         self._lexicon: Lexicon | None = None
-        self._seen: set[bytes] = set()
-        self._hits: dict[bytes, tuple[int, int]] = {}
+        self._seen: set[int] = set()  # by hash
+        self._hits: dict[int, tuple[int, int]] = {}
 
     def __getstate__(self):
         return {"terms": self.terms, "curve": self.curve, "_lexicon": None, "_seen": set(), "_hits": {}}
 
-    def hits(self, words: set[bytes]) -> set[bytes]:
+    def found(self, w: Words, data: bytes) -> np.ndarray:
+        """Places among the words of those that match a term."""
         if self._lexicon is None:
             self._lexicon = Lexicon(self.terms)
-        if len(self._seen) > 500_000:
+        if len(self._seen) > 2_000_000:
             self._seen.clear()
-        new = words - self._seen
-        for w in new:
-            got = self._lexicon.match(w.decode())
-            if got:
-                self._hits[w] = got
-        self._seen |= new
-        return words & self._hits.keys()
-
-    def counts(self, raw: bytes) -> tuple[float, float, float, float, int]:
-        """Exact, misspelled and stem matches that aren't quoted (a quoted one counts
-        QUOTED), quoted ones, and words."""
-        words = raw.translate(_WORDS).split()
-        found = self.hits(set(words)) if self.terms else set()
-        if not found:
-            return 0.0, 0.0, 0.0, 0.0, len(words)
-        out = [0.0, 0.0, 0.0, 0.0]
-        text = raw.decode().translate(_ASCII_LOWER)
-        spans = [(m.start(), m.end()) for m in _RUNS.finditer(text)]
-        names = [text[a:b] for a, b in spans]
-        for i, name in enumerate(names):
-            got = self._hits.get(name.encode()) if name.encode() in found else None
-            if got is None:
-                continue
-            lo, hi = spans[max(0, i - WINDOW)][0], spans[min(len(spans) - 1, i + WINDOW)][1]
-            before, after = text[lo : spans[i][0]].rsplit("\n", 1)[-1], text[spans[i][1] : hi].split("\n", 1)[0]
+            self._hits.clear()
+        h, index = np.unique(w.hash, return_index=True)
+        hits = []
+        for x, i in zip(h.tolist(), index.tolist(), strict=True):
+            if x not in self._seen:
+                self._seen.add(x)
+                got = self._lexicon.match(data[w.starts[i] : w.ends[i]].decode())
+                if got:
+                    self._hits[x] = got
+            if x in self._hits:
+                hits.append(x)
+        return np.flatnonzero(np.isin(w.hash, np.array(hits, np.uint64)))
+
+    def counted(self, t: Texts) -> np.ndarray:
+        """Of each text the exact, misspelled and stem matches that aren't quoted (a quoted
+        one counts QUOTED), quoted ones, and words."""
+        w, data = split(t)
+        out = np.zeros((len(t), 5))
+        out[:, 4] = np.diff(w.first)
+        if not self.terms or not len(w.starts):
+            return out
+        raw = t.data
+        for i in self.found(w, data).tolist():
+            doc = int(w.doc[i])
+            a, z = int(w.first[doc]), int(w.first[doc + 1]) - 1
+            lo, hi = max(a, i - WINDOW), min(z, i + WINDOW)
+            before = raw[w.starts[lo] : w.starts[i]].tobytes().decode().rsplit("\n", 1)[-1]
+            after = raw[w.ends[i] : w.ends[hi]].tobytes().decode().split("\n", 1)[0]
+            if lo == a:  # marks before the first word and after the last
+                before = raw[t.offs[doc] : w.starts[lo]].tobytes().decode().rsplit("\n", 1)[-1][-WINDOW:] + before
+            if hi == z:
+                after += raw[w.ends[hi] : t.offs[doc + 1]].tobytes().decode().split("\n", 1)[0][:WINDOW]
             marks = sum(c in QUOTES for c in before)
-            quoted = (marks % 2 == 1 and any(c in QUOTES for c in after)) or not REPORTING.isdisjoint(names[max(0, i - WINDOW) : i])
-            kind = 2 if self.terms[got[0]][1] else 1 if got[1] else 0
-            out[kind] += QUOTED if quoted else 1.0
-            out[3] += quoted
-        return *out, len(words)
+            said = {data[w.starts[k] : w.ends[k]].decode() for k in range(lo, i)}
+            quoted = (marks % 2 == 1 and any(c in QUOTES for c in after)) or not REPORTING.isdisjoint(said)
+            term, edits = self._hits[int(w.hash[i])]
+            out[doc, 2 if self.terms[term][1] else 1 if edits else 0] += QUOTED if quoted else 1.0
+            out[doc, 3] += quoted
+        return out
+
+    def counts(self, raw: bytes) -> tuple[float, ...]:
+        """counted() of one text."""
+        return tuple(self.counted(Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 0, 1))[0].tolist())
 
     @staticmethod
     def design(counts: np.ndarray) -> np.ndarray:
@@ -226,34 +257,36 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.design(counts) @ self.curve, -500, 500)))
 
 
-_ASCII_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
-_RUNS = re.compile(r"[^\x00-\x60\x7B-\x7F]+")
-
-
 def _count(scorer: Scorer):
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("toxic", pa.int32()), ("c", pa.list_(pa.float64()))])
         for b in batches:
             for t in chunks(b.column("text")):
-                yield batch(schema, b.column("toxic").slice(t.lo, len(t)), [list(map(float, scorer.counts(t.text(i)))) for i in range(len(t))])
+                yield batch(schema, b.column("toxic").slice(t.lo, len(t)), scorer.counted(t).tolist())
 
     return step
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Scorer:
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     """From labels (doc_id, toxic) outside the held-out fold; null labels are ignored, of
     several for a document the largest counts. Without labels of both kinds every text
     scores 0."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") >= 1).cast("int").alias("toxic"))
-    half = [known.filter(F.col("toxic") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for g in (0, 1)]
-    texts = docs.select("doc_id", "text").join(F.broadcast(half[0].union(half[1])), "doc_id").filter(F.octet_length("text") <= SAMPLE_BYTES)
+    texts = sampled(docs, known, "toxic", sample, SAMPLE_BYTES)
     n = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return Scorer([])
     counts = texts.select("text", "toxic").mapInArrow(_terms, "term string, stem boolean, bad long, good long").groupBy("term", "stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    rate = (F.col("bad") / n[1]) / ((F.col("good") + 0.5) / n[0])
-    rows = counts.filter((F.col("bad") >= SUPPORT) & (rate >= LIFT) & (F.length("term") >= 3)).orderBy(F.desc("bad"), "term", "stem").limit(40 * terms).collect()
-    scorer = Scorer(_learn([tuple(r) for r in rows], terms))
+    counts = written(counts, "terms")
+    # The likelihood ratio that a term goes with toxic documents, beyond what the most
+    # extreme of so many terms reaches by chance.
+    total, bad, all_ = n[0] + n[1], F.col("bad"), F.col("bad") + F.col("good")
+    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(F.lit(0.0))
+    ratio = 2 * sum((part(x, e / total) for x, e in ((bad, all_ * n[1]), (F.col("good"), all_ * n[0]), (n[1] - bad, (total - all_) * n[1]), (n[0] - F.col("good"), (total - all_) * n[0]))), F.lit(0.0))
+    rate = (bad / n[1]) / ((F.col("good") + 0.5) / n[0])
+    least = 2 * math.log(max(1, counts.count()) / CHANCE)
+    rows = counts.filter((bad >= SUPPORT) & (rate >= LIFT) & (F.length("term") >= 3) & (ratio >= least)).collect()
+    scorer = Scorer(_learn(sorted(tuple(r) for r in rows)))
     found = sorted((r[0], *r[1]) for r in texts.select("text", "toxic").mapInArrow(_count(scorer), "toxic int, c array<double>").collect())
     x, y = Scorer.design(np.array([r[1:] for r in found])), np.array([r[0] for r in found], float)
     a = np.zeros(x.shape[1])
@@ -272,14 +305,16 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     """docs (doc_id, text, ...), labels (doc_id, toxic, ...) -> doc_id, held_out, score
     (0 to 1, higher: toxic), predicted, and the counts of matches.
 
-    A row for each row. Null and empty texts have no words and score as such. Other
-    columns are ignored."""
+    A row for each row, repeated ones too, scored on its whole text however long. Null
+    and empty texts have no words and score as such; an empty table gives an empty
+    result. Of terms equally near a word the first stands. Other columns, of any name,
+    are ignored."""
     scorer = fitted(docs, labels)
 
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in chunks(b.column("text")):
-                c = np.array([scorer.counts(t.text(i)) for i in range(len(t))])
+                c = scorer.counted(t)
                 s = scorer.score(c)
                 yield batch(SCORED, b.column("doc_id").slice(t.lo, len(t)), b.column("held_out").slice(t.lo, len(t)), s, (s >= threshold).astype(np.int32), c[:, 0], c[:, 1], c[:, 2], c[:, 3])
 
