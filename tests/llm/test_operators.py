@@ -198,7 +198,7 @@ def test_overlapping_sources_route():
 
 def test_language_model(docs, odd, none):
     for df in (docs, odd):
-        out = lm_hpyp.scored(df, head=500)
+        out = lm_hpyp.scored(df, numbered=500)
         rows = raw(df)
         train = [lm_hpyp.words(b) + [b"\n"] for d, b in rows if d is None or zlib.crc32(str(d).encode()) % 10]
         c = collections.Counter(w for x in train for w in x)
