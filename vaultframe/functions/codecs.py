@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import lzma
 import struct
 import zlib
@@ -27,14 +28,19 @@ class UnsupportedCodec(ValueError):
     """No such codec, or none that can do this."""
 
 
+class TooLarge(FormatError):
+    """More content than the caller allows."""
+
+
 @dataclass(frozen=True)
 class Context:
-    """What a container knows about a stream."""
+    """What a container knows about a stream, and the most bytes it may become."""
 
     size: int | None = None
     properties: bytes = b""
     flags: int = 0
     level: int | None = None
+    limit: int | None = None
 
 
 @dataclass(frozen=True)
@@ -48,7 +54,10 @@ class Codec:
         if self.decode is None:
             raise UnsupportedCodec(f"{self.name} can't be decoded")
         try:
-            return self.decode(data, context)
+            out = self.decode(data, context)
+            if context.limit is not None and len(out) > context.limit:
+                raise TooLarge(f"{self.name}: content is larger than allowed")
+            return out
         except (zlib.error, lzma.LZMAError, OSError, EOFError, zstandard.ZstdError, IndexError, struct.error) as e:
             raise FormatError(f"{self.name}: {e}") from e
 
@@ -70,12 +79,31 @@ def _raw_deflate(data: bytes, c: Context) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _whole(data: bytes, wbits: int) -> bytes:
-    z = zlib.decompressobj(wbits)
-    out = z.decompress(data) + z.flush()
-    if not z.eof:
-        raise FormatError("input ends early")
-    return out
+def _streams(new: Callable[[], object], data: bytes, c: Context, several: bool = False) -> bytes:
+    """What decompressors make of data, one stream or several after another, never much
+    beyond the limit."""
+    out, rest = bytearray(), data
+    while True:
+        z = new()
+        while not z.eof:
+            room = -1 if c.limit is None else c.limit + 1 - len(out)
+            if room == 0:
+                raise TooLarge("content is larger than allowed")
+            part = z.decompress(rest, max(room, 0) if hasattr(z, "unconsumed_tail") else room)
+            out += part
+            rest = z.unconsumed_tail if hasattr(z, "unconsumed_tail") and not z.eof else b""
+            if not part and not rest and not z.eof:
+                if hasattr(z, "flush"):
+                    out += z.flush()
+                if not z.eof:
+                    raise FormatError("input ends early")
+        rest = z.unused_data.lstrip(b"\0") if several else b""
+        if not rest:
+            return bytes(out)
+
+
+def _whole(data: bytes, wbits: int, c: Context, several: bool = False) -> bytes:
+    return _streams(lambda: zlib.decompressobj(wbits), data, c, several)
 
 
 def lzma1_filter(properties: bytes) -> dict:
@@ -89,9 +117,10 @@ def lzma1_filter(properties: bytes) -> dict:
 def _lzma_decode(data: bytes, c: Context) -> bytes:
     """With properties: a raw stream; without: the .lzma format."""
     if not c.properties:
-        return lzma.decompress(data, lzma.FORMAT_ALONE)
+        return _streams(lambda: lzma.LZMADecompressor(lzma.FORMAT_ALONE), data, c)
     z = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[lzma1_filter(c.properties)])
-    out = z.decompress(data, -1 if c.size is None else c.size)
+    most = [x for x in (c.size, None if c.limit is None else c.limit + 1) if x is not None]
+    out = z.decompress(data, min(most, default=-1))
     if c.size is not None and len(out) < c.size:
         raise FormatError("input ends early")
     return out
@@ -131,7 +160,9 @@ def lzip_decode(data: bytes, c: Context = Context()) -> bytes:
         b = data[at + 5]
         size = (1 << (b & 31)) - ((1 << (b & 31)) // 16) * (b >> 5)
         z = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "lc": 3, "lp": 0, "pb": 2, "dict_size": max(4096, size)}])
-        part = z.decompress(data[at + 6 :])
+        part = z.decompress(data[at + 6 :], -1 if c.limit is None else c.limit + 1 - len(out))
+        if c.limit is not None and len(out) + len(part) > c.limit:
+            raise TooLarge("content is larger than allowed")
         if not z.eof:
             raise FormatError("input ends early")
         end = len(data) - len(z.unused_data)
@@ -145,6 +176,10 @@ def lzip_decode(data: bytes, c: Context = Context()) -> bytes:
 
 def _zstd_decode(data: bytes, c: Context) -> bytes:
     z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(c.properties) if c.properties else None)
+    if c.limit is not None:  # a reader makes no more than asked for
+        with z.stream_reader(io.BytesIO(data), read_across_frames=True) as r:
+            if len(r.read(c.limit + 1)) > c.limit:
+                raise TooLarge("content is larger than allowed")
     out, rest = bytearray(), data
     while rest:
         d = z.decompressobj()
@@ -178,14 +213,14 @@ def _reduce(k: int) -> Codec:
 
 CODECS = (
     Codec("none", lambda d, c: d, lambda d, c: d),
-    Codec("deflate", lambda d, c: _whole(d, -15), _raw_deflate, (0, 9)),
-    Codec("zlib", lambda d, c: _whole(d, 15), lambda d, c: zlib.compress(d, 6 if c.level is None else c.level), (0, 9)),
-    Codec("gzip", lambda d, c: gzip.decompress(d), lambda d, c: gzip.compress(d, 6 if c.level is None else c.level, mtime=0), (0, 9)),
-    Codec("bzip2", lambda d, c: bz2.decompress(d), lambda d, c: bz2.compress(d)),
+    Codec("deflate", lambda d, c: _whole(d, -15, c), _raw_deflate, (0, 9)),
+    Codec("zlib", lambda d, c: _whole(d, 15, c), lambda d, c: zlib.compress(d, 6 if c.level is None else c.level), (0, 9)),
+    Codec("gzip", lambda d, c: _whole(d, 31, c, True), lambda d, c: gzip.compress(d, 6 if c.level is None else c.level, mtime=0), (0, 9)),
+    Codec("bzip2", lambda d, c: _streams(bz2.BZ2Decompressor, d, c, True), lambda d, c: bz2.compress(d)),
     Codec("lzma", _lzma_decode, _lzma_encode),
-    Codec("lzma2", lambda d, c: lzma.decompress(d, lzma.FORMAT_RAW, filters=[_lzma2_filter(c)]), lambda d, c: lzma.compress(d, lzma.FORMAT_RAW, filters=[_lzma2_filter(c)])),
+    Codec("lzma2", lambda d, c: _streams(lambda: lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[_lzma2_filter(c)]), d, c), lambda d, c: lzma.compress(d, lzma.FORMAT_RAW, filters=[_lzma2_filter(c)])),
     Codec("lzip", lzip_decode, lzip_encode),
-    Codec("xz", lambda d, c: lzma.decompress(d, lzma.FORMAT_XZ)),
+    Codec("xz", lambda d, c: _streams(lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ), d, c, True)),
     Codec("zstd", _zstd_decode, _zstd_encode, (1, 22)),
     *(Codec(n, _free(n)) for n in ("deflate64", "lzw", "rle90", "squeezed", "crunched", "adc")),
     *(Codec(n, _sized(n)) for n in ("shrink", "arj_lha", "arj_lh")),

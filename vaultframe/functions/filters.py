@@ -7,6 +7,9 @@ import lzma
 import struct
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _LIB = {"x86": lzma.FILTER_X86, "ppc": lzma.FILTER_POWERPC, "ia64": lzma.FILTER_IA64, "arm": lzma.FILTER_ARM, "armt": lzma.FILTER_ARMTHUMB, "sparc": lzma.FILTER_SPARC}
 NAMES = (*_LIB, "delta", "arm64", "riscv")
@@ -44,6 +47,55 @@ def _arm64(data: bytes, start: int, encode: bool) -> bytes:
     return out.tobytes() + data[n:]
 
 
+def _riscv(data: bytes, start: int, encode: bool) -> bytes:
+    """Jumps with a return address (JAL to x1 or x5) and pairs of AUIPC and an instruction
+    that uses its register get absolute big-endian targets, two bytes apart at least. A
+    pair is marked by AUIPC's register x2; pairs that look so beforehand trade places."""
+    out, mask = bytearray(data), 0xFFFFFFFF
+    word = lambda at: int.from_bytes(out[at : at + 4], "little")
+    x = np.frombuffer(data, np.uint8)[::2]
+    i = 0
+    for at in (2 * np.flatnonzero((x == 0xEF) | (x & 0x7F == 0x17))).tolist():
+        if at < i or at + 8 > len(out):
+            continue
+        first, pc = word(at), start + at
+        if first & 0xFF == 0xEF:
+            if first & 0xD00:
+                continue
+            if encode:  # bits 20, 10-1, 11, 19-12 of the offset, from the top
+                offset = (first >> 31 << 20) | ((first >> 21 & 0x3FF) << 1) | ((first >> 20 & 1) << 11) | (first & 0xFF000)
+                to = offset + pc & 0x1FFFFF
+                out[at + 1 : at + 4] = bytes([first >> 8 & 0x0F | to >> 13 & 0xF0, to >> 9 & 255, to >> 1 & 255])
+            else:
+                offset = ((first >> 12 & 0x0F) << 17 | (first >> 16 & 255) << 9 | (first >> 24) << 1) - pc & 0x1FFFFF
+                new = first & 0xFFF | (offset >> 20) << 31 | (offset >> 1 & 0x3FF) << 21 | (offset >> 11 & 1) << 20 | offset & 0xFF000
+                out[at : at + 4] = struct.pack("<I", new)
+            i = at + 4
+            continue
+        second = word(at + 4)
+        if first & 0xE80:  # a register other than x0 and x2
+            if ((first << 8) ^ (second - 3)) & 0xF8003:
+                i = at + 6
+                continue
+            if encode:
+                to = (first & 0xFFFFF000) + (second >> 20) - (second >> 19 & 0x1000) + pc
+                out[at : at + 8] = struct.pack("<I", 0x117 | second << 12 & mask) + struct.pack(">I", to & mask)
+            else:
+                out[at : at + 8] = struct.pack("<II", 0x117 | second << 12 & mask, (first & 0xFFFFF000) + (second >> 20) & mask)
+        else:
+            register = first >> 27
+            if ((first - 0x3117) << 18) & mask >= register & 0x1D:
+                i = at + 4
+                continue
+            if encode:
+                out[at : at + 8] = struct.pack("<II", 0x17 | register << 7 | second & 0xFFFFF000, first >> 12 | second << 20 & mask)
+            else:
+                to = int.from_bytes(out[at + 4 : at + 8], "big") - pc & mask
+                out[at : at + 8] = struct.pack("<II", 0x17 | register << 7 | to + 0x800 & 0xFFFFF000, first >> 12 | to << 20 & mask)
+        i = at + 8
+    return bytes(out)
+
+
 def apply(name: str, data: bytes, encode: bool = False, distance: int = 1, start: int = 0) -> bytes:
     """Runs a filter over a whole stream. distance: of delta; start: address of the
     first byte, of the branch filters."""
@@ -60,6 +112,8 @@ def apply(name: str, data: bytes, encode: bool = False, distance: int = 1, start
         return np.cumsum(rows, axis=0, dtype=np.uint8).tobytes()[: len(x)]
     if name == "arm64":
         return _arm64(data, start, encode)
+    if name == "riscv":
+        return _riscv(data, start, encode)
     if name not in _LIB:
         raise ValueError(f"unknown filter: {name}")
     step = {"id": _LIB[name]} | ({"start_offset": start} if start else {})
@@ -116,3 +170,15 @@ def bcj2(main: bytes, call: bytes, jump: bytes, control: bytes, size: int) -> by
                 continue
         before = b
     return bytes(out)
+
+
+def filtered(col: Column, name: str, encode: bool = False, distance: int = 1, start: int = 0) -> Column:
+    """A binary column after the filter; null for null."""
+    if name not in NAMES:
+        raise ValueError(f"unknown filter: {name}")
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else apply(name, bytes(x), encode, distance, start))
+
+    return run(col.cast("binary"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bz2
 import io
 import lzma
+import os
 import re
 import tarfile
 import zlib
@@ -12,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import zstandard
 
-from vaultframe.functions.codecs import DEFAULT, Registry
+from vaultframe.functions.codecs import DEFAULT, Context, Registry
 from vaultframe.sources import formats, sevenzip
 from vaultframe.sources.model import ArchiveError, Entry, Options
 
@@ -55,15 +56,25 @@ EXTENSIONS = {
 }
 
 
-def _wrapped(data: bytes) -> tuple[str, str] | None:
+def _wrapped(data: bytes, o: Options = Options()) -> tuple[str, str] | None:
+    """Outer name and codec of a compressed tar. Compressed zeros are a tar without
+    entries only if the file's name says so; they may as well be a file of zeros."""
     for name, magic, codec, start in WRAPPERS:
-        if data.startswith(magic) and is_tar(start(data)):
-            return name, codec
+        if data[: len(magic)] == magic:
+            head = start(data[:HEAD])
+            if is_tar(head) and (any(head[:512]) or EXTENSIONS.get(o.extension.lower().lstrip(".")) == "Tar"):
+                return name, codec
     return None
 
 
+def extension_of(path: str) -> str:
+    """The hint that a file's name gives; .tar.gz and its like are one extension."""
+    name = path.lower().rsplit("/", 1)[-1]
+    return ".tar" if re.search(r"\.tar\.\w+$", name) else os.path.splitext(name)[1]
+
+
 def _within(data: bytes, magic: bytes, o: Options) -> bool:
-    return (magic in data[:HEAD]) if o.look_for_header else data.startswith(magic)
+    return (magic in data[:HEAD]) if o.look_for_header else data[: len(magic)] == magic
 
 
 Probe = Callable[[bytes, Options], bool]
@@ -71,18 +82,18 @@ Read = Callable[[bytes, Options, Registry], Iterator[Entry]]
 
 
 def _tar(data: bytes, o: Options, registry: Registry = DEFAULT) -> Iterator[Entry]:
-    wrapped = None if is_tar(data[:1024]) else _wrapped(data)
+    wrapped = None if is_tar(data[:1024]) else _wrapped(data, o)
     if wrapped is None:
         yield from formats.tar_entries(data, o, registry)
     else:
-        yield from formats.tar_entries(registry.get(wrapped[1]).decompress(data), o, registry, wrapped[0])
+        yield from formats.tar_entries(registry.get(wrapped[1]).decompress(data, Context(limit=o.whole(len(data)))), o, registry, wrapped[0])
 
 
 #: Formats in the order they are tried. The first that knows the bytes reads them.
 FORMATS: dict[str, tuple[Probe, Read]] = {
-    "Zip": (lambda d, o: d[:4] in (b"PK\x03\x04", b"PK\x05\x06", b"PK00", b"PK\x07\x08") or (o.look_for_header and b"PK\x03\x04" in d[:HEAD] and b"PK\x05\x06" in d), formats.zip_entries),
+    "Zip": (lambda d, o: d[:4] in (b"PK\x03\x04", b"PK\x05\x06", b"PK00", b"PK\x07\x08") or (o.look_for_header and b"PK\x03\x04" in d[:HEAD] and d.find(b"PK\x05\x06") >= 0), formats.zip_entries),
     "Rar": (lambda d, o: _within(d, b"Rar!\x1a\x07", o), formats.rar_entries),
-    "Tar": (lambda d, o: is_tar(d[:1024]) or _wrapped(d) is not None, _tar),
+    "Tar": (lambda d, o: is_tar(d[:1024]) or _wrapped(d, o) is not None, _tar),
     "GZip": (lambda d, o: d[:3] == b"\x1f\x8b\x08", formats.gzip_entries),
     "Lzw": (lambda d, o: d[:2] == b"\x1f\x9d", formats.lzw_entries),
     "Arc": (lambda d, o: len(d) > 1 and d[0] == 0x1A and d[1] < 10, formats.arc_entries),
@@ -109,8 +120,8 @@ def detect(data: bytes, o: Options = Options()) -> str | None:
     return None
 
 
-def outer_compression(data: bytes) -> str:
-    got = None if is_tar(data[:1024]) else _wrapped(data)
+def outer_compression(data: bytes, o: Options = Options()) -> str:
+    got = None if is_tar(data[:1024]) else _wrapped(data, o)
     return got[0] if got else "None"
 
 

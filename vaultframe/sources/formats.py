@@ -55,6 +55,8 @@ def _zip_entry(data: bytes, registry: Registry, o: Options, flags: int, method:
         e.last_modified = when.get("last_modified", e.last_modified)
     if comment:
         e.format_meta["comment"] = comment
+    if flags & 1:
+        e.format_meta["encryption"] = f"WinZipAes{64 + 64 * strength}" if aes else "PkwareTraditional"
     e.check = None if e.is_directory or (aes and version == 2) else checksums.crc32
 
     def read() -> bytes:
@@ -72,11 +74,12 @@ def _zip_entry(data: bytes, registry: Registry, o: Options, flags: int, method:
                 raw = crypto.zipcrypto(raw, o.password.encode(), (time >> 8 & 255) if flags & 8 else crc >> 24)
         if not codec:
             raise Unsupported(f"zip method {method}")
-        _guard(e.size, len(data), o)
+        _guard(e.size, len(raw), o)
+        most = o.limit(len(raw)) if e.size is None else e.size
         if codec == "lzma":
             n = struct.unpack_from("<H", raw, 2)[0]
-            return registry.get("lzma").decompress(raw[4 + n :], Context(e.size, raw[4 : 4 + n]))
-        return registry.get(codec).decompress(raw, Context(e.size, flags=flags))
+            return registry.get("lzma").decompress(raw[4 + n :], Context(e.size, raw[4 : 4 + n], limit=most))
+        return registry.get(codec).decompress(raw, Context(e.size, flags=flags, limit=most))
 
     e.read = read
     return e
@@ -96,7 +99,13 @@ def zip_entries(data: bytes, o: Options, registry: Registry = DEFAULT) -> Iterat
     if end < 0:
         raise Damaged("no end of central directory")
     count, size, start = struct.unpack_from("<HII", data, end + 10)
-    shift = end - size - start
+    disk = struct.unpack_from("<H", data, end + 6)[0]
+    # Of a set of volumes offsets count from their own one's start, of plain cuts from the first's.
+    bases = [sum(o.volumes[:i]) for i in range(len(o.volumes))] if disk and len(o.volumes) > 1 else []
+    if bases and disk >= len(bases):
+        raise Incomplete("a volume is missing")
+    shift = 0 if bases else end - size - start
+    start += bases[disk] if bases else 0
     locator = data.rfind(b"PK\x06\x07", max(0, end - 20), end)
     if locator >= 0:
         at = struct.unpack_from("<Q", data, locator + 8)[0]
@@ -105,23 +114,34 @@ def zip_entries(data: bytes, o: Options, registry: Registry = DEFAULT) -> Iterat
         count, size, start = struct.unpack_from("<QQQ", data, at + 32)
         shift = at - size - start
     at = start + shift
-    for _ in range(count):
+    note = data[end + 22 : end + 22 + struct.unpack_from("<H", data, end + 20)[0]].decode("utf-8", "replace")
+    for i in range(count):
         if data[at : at + 4] != b"PK\x01\x02":
             raise Damaged("no central header where one should be")
         flags, method, time, crc, packed, full, n, m, k = struct.unpack_from("<HHIIIIHHH", data, at + 8)
         attrib, local = struct.unpack_from("<II", data, at + 38)
+        disk = struct.unpack_from("<H", data, at + 34)[0]
         name, extras = data[at + 46 : at + 46 + n], _extras(data[at + 46 + n : at + 46 + n + m])
-        x, i = extras.get(1, b""), 0
-        if full == 0xFFFFFFFF and len(x) >= i + 8:
-            full, i = struct.unpack_from("<Q", x, i)[0], i + 8
-        if packed == 0xFFFFFFFF and len(x) >= i + 8:
-            packed, i = struct.unpack_from("<Q", x, i)[0], i + 8
-        if local == 0xFFFFFFFF and len(x) >= i + 8:
-            local = struct.unpack_from("<Q", x, i)[0]
-        local += shift
+        x, j = extras.get(1, b""), 0
+        if full == 0xFFFFFFFF and len(x) >= j + 8:
+            full, j = struct.unpack_from("<Q", x, j)[0], j + 8
+        if packed == 0xFFFFFFFF and len(x) >= j + 8:
+            packed, j = struct.unpack_from("<Q", x, j)[0], j + 8
+        if local == 0xFFFFFFFF and len(x) >= j + 8:
+            local = struct.unpack_from("<Q", x, j)[0]
+        if bases and disk >= len(bases):
+            raise Incomplete("a volume is missing")
+        local += bases[disk] if bases else shift
         a, b = struct.unpack_from("<HH", data, local + 26)
         comment = data[at + 46 + n + m : at + 46 + n + m + k].decode("utf-8" if flags & 0x800 else o.encoding, "replace")
-        yield _zip_entry(data, registry, o, flags, method, time, crc, packed, full, name, extras, local + 30 + a + b, comment, attrib)
+        e = _zip_entry(data, registry, o, flags, method, time, crc, packed, full, name, extras, local + 30 + a + b, comment, attrib)
+        if bases:
+            e.volume_index_first = disk
+            e.volume_index_last = sum(local + 30 + a + b + packed > x for x in bases[1:])
+        if note and not i:
+            e.format_meta["archive_comment"] = note
+        e.format_meta["format_version"] = str(data[at + 6])
+        yield e
         at += 46 + n + m + k
 
 
@@ -177,12 +197,38 @@ def _descriptor(data: bytes, body: int, method: int, flags: int, wide: bool) ->
         at += 4
 
 
+class File(io.RawIOBase):
+    """A file over bytes, or over a mapped file, of which only what is read is touched."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        self.at = at + (0, self.at, len(self.data))[whence]
+        return self.at
+
+    def readinto(self, to) -> int:
+        part = self.data[self.at : self.at + len(to)]
+        to[: len(part)] = part
+        self.at += len(part)
+        return len(part)
+
+
 _TAR_KIND = {b"0": "File", b"\0": "OldFile", b"1": "HardLink", b"2": "SymLink", b"3": "CharDevice", b"4": "BlockDevice", b"5": "Directory", b"6": "Fifo", b"7": "File", b"S": "SparseFile"}
 
 
 def tar_entries(data: bytes, o: Options, registry: Registry = DEFAULT, outer: str = "None") -> Iterator[Entry]:
     try:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:", encoding="utf-8", errors="replace") as tar:
+        with tarfile.open(fileobj=File(data), mode="r:", encoding="utf-8", errors="replace") as tar:
             for m in tar:
                 link = m.linkname if m.issym() or m.islnk() else None
                 e = Entry("Tar", m.name + ("/" if m.isdir() else ""), outer, m.size, m.size, 0, unix_time(m.mtime), link_target=link, is_directory=m.isdir(), outer_compression=outer)
@@ -190,7 +236,7 @@ def tar_entries(data: bytes, o: Options, registry: Registry = DEFAULT, outer: st
                 start, size = m.offset_data, m.size
 
                 def read(start: int = start, size: int = size) -> bytes:
-                    _guard(size, len(data), o)
+                    _guard(size, size, o)
                     if start + size > len(data):
                         raise Incomplete("archive ends within an entry")
                     return data[start : start + size]
@@ -211,15 +257,30 @@ def gzip_entries(data: bytes, o: Options, registry: Registry = DEFAULT) -> Itera
         end = data.index(b"\0", at)
         name = data[at:end].decode("latin-1")
     crc, size = struct.unpack_from("<II", data, len(data) - 8)
-    e = Entry("GZip", name, "GZip", size, 0, crc, unix_time(mtime) if mtime else None, check=checksums.crc32)
-    e.read = lambda: registry.get("gzip").decompress(data)
+    several = data.find(b"\x1f\x8b\x08", 18) >= 0 and _members(data) > 1
+    e = Entry("GZip", name, "GZip", None if several else size, 0, None if several else crc, unix_time(mtime) if mtime else None, check=None if several else checksums.crc32)
+    if several:  # each has a size and a checksum of its own, which decoding compares
+        e.format_meta["members"] = "several"
+    e.read = lambda: registry.get("gzip").decompress(data, Context(limit=o.limit(len(data))))
     yield e
 
 
+def _members(data: bytes) -> int:
+    """Gzip members, two at most; what they become isn't kept."""
+    z, at = zlib.decompressobj(31), 0
+    while not z.eof and at < len(data):
+        part, at = data[at : at + 65536], at + 65536
+        while part and not z.eof:
+            z.decompress(part, 1 << 20)
+            part = z.unconsumed_tail
+    rest = (z.unused_data + data[at : at + 3])[:3]
+    return 2 if rest == b"\x1f\x8b\x08" else 1
+
+
 def lzw_entries(data: bytes, o: Options, registry: Registry = DEFAULT) -> Iterator[Entry]:
     if data[:2] != b"\x1f\x9d":
         raise Damaged("not a .Z stream")
-    yield Entry("Lzw", None, "Lzw", 0, 0, 0, read=lambda: registry.get("lzw").decompress(data))
+    yield Entry("Lzw", None, "Lzw", 0, 0, 0, read=lambda: registry.get("lzw").decompress(data, Context(limit=o.limit(len(data)))))
 
 
 def arc_entries(data: bytes, o: Options, registry: Registry = DEFAULT) -> Iterator[Entry]:
@@ -244,7 +305,7 @@ def arc_entries(data: bytes, o: Options, registry: Registry = DEFAULT) -> Iterat
                 raise Unsupported(f"arc method {method}")
             if body + packed > len(data):
                 raise Incomplete("archive ends within an entry")
-            return registry.get(codec).decompress(data[body : body + packed], Context(full))
+            return registry.get(codec).decompress(data[body : body + packed], Context(full, limit=min(full, o.limit(packed))))
 
         e.read = read
         yield e
@@ -283,7 +344,7 @@ def arj_entries(data: bytes, o: Options, registry: Registry = DEFAULT) -> Iterat
             codec = {0: "none", 1: "arj_lha", 2: "arj_lha", 3: "arj_lha", 4: "arj_lh"}.get(method)
             if codec is None or (codec == "arj_lha" and full > 131072):
                 raise Unsupported(f"arj method {method}")
-            return registry.get(codec).decompress(data[body : body + packed], Context(full))
+            return registry.get(codec).decompress(data[body : body + packed], Context(full, limit=min(full, o.limit(packed))))
 
         e.read = read
         yield e
@@ -432,7 +493,7 @@ def _rar4(data: bytes, at: int, o: Options) -> Iterator[Entry]:
             raw = data[i : i + length]
             name = raw.split(b"\0")[0].decode("utf-8", "replace") if flags & 0x200 and b"\0" not in raw else rar_name(raw) if flags & 0x200 else raw.decode(o.encoding, "replace")
             e = Entry("Rar", name.replace("\\", "/"), "None" if method == 0x30 else "Rar", full, packed, crc, dos_time(time), is_directory=flags & 0xE0 == 0xE0, is_encrypted=bool(flags & 4), is_split_after=bool(flags & 2), is_solid=bool(flags & 16), is_complete=not flags & 3, volume_index_first=volume, volume_index_last=volume, attrib=attrib - (attrib >> 31 << 32), check=None if flags & 4 or flags & 0xE0 == 0xE0 else checksums.crc32)
-            e.format_meta |= {"version": str(version), "host_os": str(host)}
+            e.format_meta |= {"version": str(version), "host_os": str(host), "format_version": "4"}
             if flags & 1 and waiting and waiting[0].key == e.key:
                 e, part = waiting[0], e
                 waiting[1].append((at + n, packed))
@@ -521,7 +582,7 @@ def _rar5(data: bytes, at: int, o: Options) -> Iterator[Entry]:
             length, i = _vint(data, i)
             name = data[i : i + length].decode("utf-8", "replace")
             e = Entry("Rar", name, "None" if not method >> 7 & 7 else "Rar", full, packed, check or 0, mtime, is_directory=bool(own & 1), is_solid=bool(method & 64), is_split_after=bool(flags & 16), is_complete=not flags & 24, volume_index_first=volume, volume_index_last=volume, attrib=attrib if attrib < 1 << 31 else attrib - (1 << 32), check=checksums.crc32 if check is not None else None)
-            e.format_meta |= {"version": str(50 + (method & 63)), "host_os": str(host)}
+            e.format_meta |= {"version": str(50 + (method & 63)), "host_os": str(host), "format_version": "5"}
             crypt = _rar5_extra(data[end - extra : end], e)
             if e.is_encrypted:
                 e.check = None

@@ -82,3 +82,14 @@ class Options:
     #: Content may be so many times the size of its archive.
     max_ratio: int = 100_000
     extension: str = ""
+    #: Bytes of what is decompressed as one: a tar's wrapper, a 7z folder.
+    max_whole_bytes: int = 4 << 30
+    #: Sizes of the volumes that make up the bytes, where there are several.
+    volumes: tuple[int, ...] = ()
+
+    def limit(self, packed: int) -> int:
+        """Most bytes that a content packed in so many may have."""
+        return min(self.max_entry_bytes, self.max_ratio * max(packed, 1))
+
+    def whole(self, packed: int) -> int:
+        return min(self.max_whole_bytes, self.max_ratio * max(packed, 1))

@@ -173,7 +173,7 @@ def decode_folder(f: Folder, packs: list[bytes], registry: Registry, o: Options)
 
 
 def _run(c: Coder, inputs: list[bytes], size: int, registry: Registry, o: Options) -> bytes:
-    if size > o.max_entry_bytes:
+    if size > o.whole(sum(map(len, inputs))):
         raise Unsupported("content is larger than the limits allow")
     if c.id not in CODERS:
         raise Unsupported(f"7z coder {c.id.hex()}")
@@ -192,7 +192,7 @@ def _run(c: Coder, inputs: list[bytes], size: int, registry: Registry, o: Option
         return filters.apply("delta", inputs[0], distance=c.properties[0] + 1)
     if name in filters.NAMES:
         return filters.apply(name, inputs[0])
-    data = registry.get(name).decompress(inputs[0], Context(size, c.properties if name in ("lzma", "lzma2") else b""))
+    data = registry.get(name).decompress(inputs[0], Context(size, c.properties if name in ("lzma", "lzma2") else b"", limit=size))
     if len(data) < size:
         raise Incomplete("7z stream ends early")
     return data[:size]
@@ -281,6 +281,10 @@ def sevenzip_entries(data: bytes, o: Options, registry: Registry = DEFAULT) -> I
         names = [CODERS.get(c.id, ("Unknown", ""))[0] for c in f.coders]
         e.compression_type = next((n for n in names if n not in ("BCJ", "BCJ2", "Delta", "AES")), "Unknown")
         e.is_encrypted = "AES" in names
+        # A folder's packed streams serve all its entries; they count with the first.
+        e.compressed_size = 0 if j else sum(packs[f.first_pack : f.first_pack + len(f.packed)])
+        if e.is_encrypted:
+            e.format_meta["encryption"] = "Aes256"
         e.check = checksums.crc32 if crc is not None else None
         offset = sum(s for s, _ in subs[at - j : at])
 
