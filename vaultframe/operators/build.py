@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 from vaultframe.sources.writers import Item, WriteOptions, write
 
 
-def build_archives(entries: DataFrame, by: str, kind: str = "zip", options: WriteOptions = WriteOptions(), order: str = "key") -> DataFrame:
+def build_archives(entries: DataFrame, by: str, kind: str | Callable[[list[Item]], bytes] = "zip", options: WriteOptions = WriteOptions(), order: str = "key") -> DataFrame:
     """entries (by, key, content, and perhaps is_directory, last_modified, codec, level)
     -> (by, archive binary, n_entries). One archive for each value of by, its entries by
-    order; an archive must fit in a binary cell. A null content is an empty file."""
+    order; an archive must fit in a binary cell. A null content is an empty file. kind: a
+    format that is written, or what makes an archive of items."""
     names = entries.columns
     arrow = pa.schema([("by", pa.string()), ("archive", pa.binary()), ("n_entries", pa.int64())])
 
     def flush(group: str, items: list[Item]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([group], pa.string()), pa.array([write(kind, items, options)], pa.binary()), pa.array([len(items)], pa.int64())], schema=arrow)
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.string()), pa.array([kind(items) if callable(kind) else write(kind, items, options)], pa.binary()), pa.array([len(items)], pa.int64())], schema=arrow)
 
     def step(batches) -> Iterator[pa.RecordBatch]:
         group, items = None, []

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultframe.functions import checksums, codecs, filters, times
-from vaultframe.functions.archives import archive_type, detected, register_functions
+from vaultframe.functions.archives import archive_type, detected, directory_files, register_functions
 from vaultframe.operators.build import build_archives
-from vaultframe.operators.extract import unsafe
+from vaultframe.plans import made
+from vaultframe.operators.extract import extract, unsafe
 from vaultframe.operators.inspect import first_in_folder, inspect
 from vaultframe.operators.mutate import add, remove, replace
-from vaultframe.sources.archive import explode_archives, register
+from vaultframe.sources.archive import explode_archives, read_archives, register
 from vaultframe.sources.writers import WriteOptions
 from vaultframe.streaming.landing import entries_stream
 
@@ -47,7 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def own_folder(spark: SparkSession) -> str:
     """A new folder in the one that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.gettempdir()
     return f"{root.removeprefix('file://').rstrip('/')}/vaultframe-{uuid.uuid4().hex}"
 
 
@@ -62,7 +67,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def packed_entries(files: DataFrame, kind: str, options: WriteOptions = WriteOptions(), **read: str) -> DataFrame:
+def packed_entries(files: DataFrame, kind, options: WriteOptions = WriteOptions(), **read: str) -> DataFrame:
     archives = build_archives(files, "pack", kind, options)
     return explode_archives(archives.select(F.col("pack").alias("path"), F.col("archive").alias("content")), **read)
 
@@ -80,7 +85,7 @@ def pack_scan_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.split("key", "/")[0].alias("lang")).agg(F.count("*").alias("n_entries"), F.sum("size").alias("total_size"), F.bool_and("checksum_ok").alias("all_valid"))
 
 
-def _round_trip(name: str, kind: str, options: WriteOptions = WriteOptions(), **read: str) -> None:
+def _round_trip(name: str, kind, options: WriteOptions = WriteOptions(), **read: str) -> None:
     @query(name, DIGEST_SQL)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return digest(packed_entries(document_files(spark, sf_dir), kind, options, **read))
@@ -99,6 +104,149 @@ for _codec in ("lzma", "lzma2"):
 _round_trip("sevenzip_compressed_header", "7z", WriteOptions(compressed_header=True))
 
 
+for _name, _pack in (("xz", made.xz), ("zstd", made.zstd), ("lzw", made.lzw)):
+    _round_trip(f"tar_{_name}", made.tar_of(_pack))
+_round_trip("tar_pax", made._pax)
+for _name, _method, _flags in (("shrink", 1, 0), ("reduce1", 2, 0), ("reduce2", 3, 0), ("reduce3", 4, 0), ("reduce4", 5, 0), ("implode", 6, 0), ("deflate64", 9, 0), ("xz", 95, 0)):
+    _round_trip(f"zip_{_name}", made.zip_by(_name, _method, _flags))
+_round_trip("zip_pkware", made.zip_pkware, password=made.PASSWORD)
+_round_trip("zip_aes", made.zip_aes, password=made.PASSWORD)
+for _name, _make in made.SEVENZIP.items():
+    _round_trip(f"sevenzip_{_name}", _make, password=made.PASSWORD)
+for _name, _method, _pack in (("stored", 0, lambda x: x), ("best", 1, made.arj_best), ("fastest", 4, made.arj_fastest)):
+    _round_trip(f"arj_{_name}", made.arj(_method, _pack))
+_round_trip("ace_stored", made.ace)
+_round_trip("rar4_stored", made.rar4)
+_round_trip("rar5_stored", made.rar5(0))
+_round_trip("rar5_packed", made.rar5(1))
+_round_trip("rar5_encrypted", made.rar5(0, made.PASSWORD), password=made.PASSWORD)
+
+
+def _arc_query(name: str, make) -> None:
+    """Names of arc entries are short, so these are ids alone."""
+
+    @query(name, DIGEST_SQL.replace("lang || '/' || ", "").replace("octet_length", "octet_length"))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = document_files(spark, sf_dir).withColumn("key", F.split("key", "/")[1])
+        return digest(packed_entries(files, make))
+
+
+for _name, _method, _pack in (("stored", 2, lambda x: x), ("packed", 3, made.rle90), ("squeezed", 4, made.squeezed), ("crunched", 8, made.crunched)):
+    _arc_query(f"arc_{_name}", made.arc(_method, _pack))
+
+
+@query("lzw_single", "SELECT doc_id, md5(text) AS content_md5, 'Lzw' AS archive_type FROM documents")
+def lzw_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), made_stream(F.encode("text", "UTF-8"), "lzw").alias("content"))
+    return explode_archives(d).select(F.col("archive_path").cast("long").alias("doc_id"), F.md5("content").alias("content_md5"), "archive_type")
+
+
+def made_stream(col, name: str):
+    """A column of streams made for the queries."""
+
+    @F.pandas_udf("binary")
+    def run(s):
+        return s.map(lambda x: made.STREAMS[name](bytes(x)))
+
+    return run(col)
+
+
+def _decode_query(name: str) -> None:
+    @query(f"decode_{name}", "SELECT doc_id, md5(text) AS content_md5 FROM documents")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+        d = d.withColumn("packed", made_stream(F.col("raw"), name)).withColumn("out", codecs.decompress(F.col("packed"), name, F.octet_length("raw")))
+        return d.select("doc_id", F.md5("out").alias("content_md5"))
+
+
+for _name in ("adc", "rle90", "xz"):
+    _decode_query(_name)
+
+
+def _land(spark: SparkSession, rows: DataFrame, where: str) -> None:
+    """Writes rows (name, content) as files below a folder that all executors share."""
+    import os
+
+    def put(batches):
+        for b in batches:
+            os.makedirs(where, exist_ok=True)
+            for name, raw in zip(b["name"], b["content"], strict=True):
+                with open(os.path.join(where, name), "wb") as f:
+                    f.write(raw)
+            yield b[["name"]]
+
+    rows.select("name", "content").mapInPandas(put, "name string").count()
+
+
+_NATIONS_SQL = "SELECT n_name AS key, md5(n_name) AS content_md5 FROM nation"
+
+
+def _nation_packs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("pack"), F.col("n_name").alias("key"), F.encode("n_name", "UTF-8").alias("content"))
+    return build_archives(n, "pack", kind)
+
+
+@query("split_volumes", _NATIONS_SQL)
+def split_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives cut into .001, .002, .003, read through Spark's own source of files."""
+    where = own_folder(spark)
+    packs = _nation_packs(spark, sf_dir, "7z").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    third = F.ceil(F.octet_length("archive") / 3).cast("int")
+    _land(spark, packs.select(F.concat("pack", F.lit(".7z.00"), (F.col("i") + 1).cast("string")).alias("name"), F.substring(F.col("archive"), F.col("i") * third + 1, third).alias("content")), where)
+    return read_archives(spark, where).select("key", F.md5("content").alias("content_md5"))
+
+
+@query("embedded_archives", _NATIONS_SQL)
+def embedded_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives behind a program's bytes, as self-extracting ones are."""
+    packs = _nation_packs(spark, sf_dir, "7z").select(F.col("pack").alias("path"), F.concat(F.lit(b"MZ" + bytes(3000)), F.col("archive")).alias("content"))
+    return explode_archives(packs, lookForHeader="true").select("key", F.md5("content").alias("content_md5"))
+
+
+@query("folder_as_input", _NATIONS_SQL)
+def folder_as_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a folder packed and read again."""
+    where = own_folder(spark)
+    _land(spark, table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.encode("n_name", "UTF-8").alias("content")), where)
+    files = directory_files(spark, where).withColumn("pack", F.lit("one"))
+    return packed_entries(files, "zip").select("key", F.md5("content").alias("content_md5"))
+
+
+@query("extracted_files", _NATIONS_SQL)
+def extracted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries written below a folder, and that folder read."""
+    where = own_folder(spark)
+    packs = _nation_packs(spark, sf_dir, "zip").select(F.col("pack").alias("path"), F.col("archive").alias("content"))
+    extract(explode_archives(packs), where).count()
+    return directory_files(spark, where).select("key", F.md5("content").alias("content_md5"))
+
+
+@query("sink_appended_and_overwritten", "SELECT n_name AS key, count(*) AS n FROM nation, (VALUES (1), (2)) AS t(i) GROUP BY n_name")
+def sink_appended_and_overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, overwritten by nations, to which these are appended again."""
+    register(spark)
+    where = own_folder(spark)
+    put = lambda d, mode: d.write.format("archive").mode(mode).option("type", "zip").save(where)
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.encode("n_name", "UTF-8").alias("content"))
+    put(table(spark, sf_dir, "region").select(F.col("r_name").alias("key"), F.encode("r_name", "UTF-8").alias("content")), "append")
+    put(nations, "overwrite")
+    put(nations, "append")
+    return spark.read.format("archive").load(where).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("inspect_comments", "SELECT 'region' || CAST(n_regionkey AS VARCHAR) AS archive_path, 'from here' AS comment, 'Complete' AS status, '20' AS format_version, count(*) AS entry_count, CAST(sum(length(n_name)) AS BIGINT) AS uncompressed_payload_size, CAST(sum(length(n_name)) AS BIGINT) AS compressed_payload_size FROM nation GROUP BY n_regionkey")
+def inspect_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("pack"), F.col("n_name").alias("key"), F.encode("n_name", "UTF-8").alias("content"))
+    return inspect(packed_entries(n, "zip", WriteOptions(codec="none", comment="from here"))).select("archive_path", "comment", "status", "format_version", "entry_count", "uncompressed_payload_size", "compressed_payload_size")
+
+
+@query("sevenzip_pack_sizes", "SELECT CAST(n_regionkey AS INTEGER) AS region, CAST(sum(length(n_name)) AS BIGINT) AS packed FROM nation GROUP BY n_regionkey")
+def sevenzip_pack_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored 7z: what is packed is as large as the contents."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("pack"), F.col("n_name").alias("key"), F.encode("n_name", "UTF-8").alias("content"))
+    return inspect(packed_entries(n, made.SEVENZIP["copy"])).select(F.col("archive_path").cast("int").alias("region"), F.col("compressed_payload_size").alias("packed"))
+
+
 @query("gzip_single", "SELECT CAST(doc_id AS VARCHAR) || '.txt' AS key, CAST(octet_length(encode(text)) AS BIGINT) AS size, md5(text) AS content_md5, true AS checksum_ok FROM documents")
 def gzip_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pack"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("key"), F.encode("text", "UTF-8").alias("content"))
@@ -106,10 +254,15 @@ def gzip_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("key", "size", F.md5("content").alias("content_md5"), "checksum_ok")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly to all cores: a file of one row group is one task otherwise."""
+    return rows.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def _codec_query(name: str) -> None:
     @query(f"codec_{name}", "SELECT doc_id, md5(text) AS content_md5, true AS changed FROM documents" if name != "none" else "SELECT doc_id, md5(text) AS content_md5, false AS changed FROM documents")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+        d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.encode("text", "UTF-8").alias("raw"))
         d = d.withColumn("packed", codecs.compress(F.col("raw"), name)).withColumn("out", codecs.decompress(F.col("packed"), name, F.octet_length("raw")))
         return d.select("doc_id", F.md5("out").alias("content_md5"), (F.col("packed") != F.col("raw")).alias("changed"))
 
@@ -131,18 +284,12 @@ def codec_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _filter_query(name: str) -> None:
     @query(f"filter_{name}", "SELECT page_id, md5(html) AS content_md5, CAST(octet_length(encode(html)) AS BIGINT) AS filtered_size FROM pages")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        @F.pandas_udf("struct<out:binary,size:long>")
-        def there_and_back(s):
-            import pandas as pd
-
-            coded = [filters.apply(name, bytes(x), True, distance=4) for x in s]
-            return pd.DataFrame({"out": [filters.apply(name, x, False, distance=4) for x in coded], "size": [len(x) for x in coded]})
-
-        p = table(spark, sf_dir, "pages").select("page_id", there_and_back(F.encode("html", "UTF-8")).alias("r"))
-        return p.select("page_id", F.md5("r.out").alias("content_md5"), F.col("r.size").alias("filtered_size"))
+        p = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("raw"))
+        p = p.withColumn("coded", filters.filtered(F.col("raw"), name, True, 4)).withColumn("out", filters.filtered(F.col("coded"), name, False, 4))
+        return p.select("page_id", F.md5("out").alias("content_md5"), F.octet_length("coded").cast("long").alias("filtered_size"))
 
 
-for _name in ("delta", "x86", "ppc", "ia64", "arm", "armt", "sparc", "arm64"):
+for _name in ("delta", "x86", "ppc", "ia64", "arm", "armt", "sparc", "arm64", "riscv"):
     _filter_query(_name)
 
 

@@ -19,7 +19,7 @@ MAGIC = b"7z\xbc\xaf\x27\x1c"
 #: Coder ids as the format's list assigns them: name, codec or filter.
 CODERS = {
     b"\x00": ("None", "none"), b"\x21": ("LZMA2", "lzma2"), b"\x03\x01\x01": ("LZMA", "lzma"), b"\x04\x02\x02": ("BZip2", "bzip2"), b"\x04\x01\x08": ("Deflate", "deflate"), b"\x04\x01\x09": ("Deflate64", "deflate64"),
-    b"\x04\xf7\x11\x01": ("ZStandard", "zstd"), b"\x03\x04\x01": ("PPMd", "ppmd"), b"\x03": ("Delta", "delta"), b"\x04": ("BCJ", "x86"), b"\x05": ("BCJ", "ppc"), b"\x06": ("BCJ", "ia64"), b"\x07": ("BCJ", "arm"), b"\x08": ("BCJ", "armt"), b"\x09": ("BCJ", "sparc"), b"\x0a": ("BCJ", "arm64"),
+    b"\x04\xf7\x11\x01": ("ZStandard", "zstd"), b"\x03\x04\x01": ("PPMd", "ppmd"), b"\x03": ("Delta", "delta"), b"\x04": ("BCJ", "x86"), b"\x05": ("BCJ", "ppc"), b"\x06": ("BCJ", "ia64"), b"\x07": ("BCJ", "arm"), b"\x08": ("BCJ", "armt"), b"\x09": ("BCJ", "sparc"), b"\x0a": ("BCJ", "arm64"), b"\x0b": ("BCJ", "riscv"),
     b"\x03\x03\x01\x03": ("BCJ", "x86"), b"\x03\x03\x02\x05": ("BCJ", "ppc"), b"\x03\x03\x04\x01": ("BCJ", "ia64"), b"\x03\x03\x05\x01": ("BCJ", "arm"), b"\x03\x03\x07\x01": ("BCJ", "armt"), b"\x03\x03\x08\x05": ("BCJ", "sparc"), b"\x03\x03\x01\x1b": ("BCJ2", "bcj2"), b"\x06\xf1\x07\x01": ("AES", "aes"),
 }
 
