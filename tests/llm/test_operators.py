@@ -48,9 +48,21 @@ def removed_by_hand(rows, n=200):
 @pytest.mark.parametrize("name", ["odd", "docs"])
 def test_suffix_dedup(request, name):
     df = request.getfixturevalue(name)
-    if name == "odd":
-        df = df.filter("text is null or length(text) < 10000")
-    assert result(suffix_dedup.removed(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_by_hand(raw(df))
+    want = removed_by_hand(raw(df))
+    for limit in (suffix_dedup.TASK_BYTES, 3000) if name == "docs" else (suffix_dedup.TASK_BYTES,):
+        assert result(suffix_dedup.removed(df, limit), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_one_gram_over_many_tasks(spark):
+    """A passage in many texts, each with others around it, of which some repeat too."""
+    rng = np.random.default_rng(8)
+    passage = "".join(rng.choice(list("abcdefgh "), 260))
+    around = ["".join(rng.choice(list("ijklmnop "), 150)) for _ in range(150)]
+    rows = [(i, around[i] + passage + around[(i * 7 + 3) % 150]) for i in range(150)] + [(200 + i, around[i] + passage) for i in range(0, 150, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = removed_by_hand(raw(df))
+    for limit in (suffix_dedup.TASK_BYTES, 4000, 700):
+        assert result(suffix_dedup.removed(df, limit), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
 def test_suffix_dedup_empty_and_texts(none, odd):

@@ -7,8 +7,10 @@ for the whole corpus. Around each repeated anchor lies a segment, the bytes of a
 strings it anchors; segments of one gram meet in one shard. There, a suffix array made
 by Larsson-Sadakane refinement (ranks of doubled depth, sorting only the groups not yet
 told apart) and Kasai's common prefixes tell which strings occur twice. A gram with more
-segments than a shard takes is spread over several, whose sorted strings are then merged
-by binary search. Identical segments travel at most twice from each partition."""
+segments than a shard takes is spread over several tasks' shards. Each of these deals
+its sorted strings, as 128-bit fingerprints, by ranges; a range's strings of all shards
+are merged by binary search, and every shard hears which of its own another one has too.
+Identical segments travel at most twice from each partition."""
 
 from __future__ import annotations
 
@@ -21,11 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import GOLD, U, batch, chunks, hashes, mix64, packs, powers, symbols, written
+from vaultframe.llm.common import GOLD, U, batch, chunks, groups, hashes, mix64, packs, powers, symbols, written
+from vaultframe.llm.components import hot_join
 
 LENGTH, GRAM = 200, 40
-#: Bytes of segments in one suffix array.
-SHARD_BYTES = 3 << 19
+#: Bytes of segments in one suffix array, and of a gram's segments in one task; ranges
+#: of strings for each task of a gram that has several.
+SHARD_BYTES, TASK_BYTES, RANGES = 3 << 19, 24 << 20, 8
+#: Grams with several tasks that are broadcast; more are joined by a shuffle.
+MAX_HOT = 1_000_000
 _BYTES, _OTHER = symbols(np.arange(256, dtype=np.uint8), 11), symbols(np.arange(256, dtype=np.uint8), 13)
 
 
@@ -259,9 +265,9 @@ def _runs(flags: np.ndarray) -> list[int]:
 
 
 def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, f1, f2): per distinct segment, the runs of places whose strings
-    repeat; segments without any are left out."""
-    for g in packs(batches, "h", SHARD_BYTES):
+    """Rows sorted by (task, h, f1, f2): per distinct segment, the runs of places whose
+    strings repeat among the task's segments of its gram; those without any are left out."""
+    for g in packs(batches, "task", SHARD_BYTES):
         h, f1, f2 = (g.column(c).to_numpy() for c in ("h", "f1", "f2"))
         starts = g.column("starts").to_numpy()
         new = np.concatenate([[True], (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1]) | (h[1:] != h[:-1])])
@@ -284,13 +290,130 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(FOUND, f1[first][some], f2[first][some], [out[i] for i in some])
 
 
+STRINGS = pa.schema([("h", pa.int64()), ("slot", pa.int64()), ("part", pa.int32()), ("raw", pa.binary())])
+STRINGS_SQL = "h long, slot long, part int, raw binary"
+
+
+def _fingerprints(segments: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of the strings at the first places of each segment, and the segments'
+    offsets among them."""
+    a, b = [], []
+    for x, n in zip(segments, starts.tolist(), strict=True):
+        data = np.frombuffer(x, np.uint8)
+        a.append(rolling(data, LENGTH, _BYTES)[:n])
+        b.append(rolling(data, LENGTH, _OTHER)[:n])
+    return np.concatenate(a), np.concatenate(b), np.concatenate([[0], np.cumsum(starts)])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), [("a", U), ("b", U)])
+    out["a"], out["b"] = a, b
+    return out
+
+
+def _offer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted distinct strings of each task's share of a hot gram, by range."""
+    for g in packs(batches, "task", SHARD_BYTES):
+        keys, slots, parts = (g.column(c).to_numpy() for c in ("h", "task", "parts"))
+        for task in np.unique(slots):
+            rows = np.flatnonzero(slots == task)
+            h, salt, n = int(keys[rows[0]]), int(g.column("salt")[int(rows[0])].as_py()), int(parts[rows[0]])
+            segments = [g.column("segment")[int(i)].as_py() for i in rows]
+            a, b, _ = _fingerprints(segments, g.column("starts").to_numpy()[rows])
+            x = np.unique(_pairs(a, b))
+            r = ((x["a"] >> U(32)) * U(RANGES * n) >> U(32)).astype(np.int64)
+            for k in np.unique(r).tolist():
+                yield batch(STRINGS, [h], [k], [salt], [x[r == k].tobytes()])
+
+
+def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by range: each share's strings that another share has too. A share's
+    strings are looked up, by binary search, among those of the shares before it."""
+    kind = np.dtype([("a", U), ("b", U)])
+    for g in groups(batches, "range"):
+        runs: dict[tuple[int, int, int], np.ndarray] = {}
+        for h, slot, part, raw in zip(*(g.column(c).to_pylist() for c in STRINGS.names), strict=True):
+            own = np.frombuffer(raw, kind)
+            key = (h, slot, part)
+            runs[key] = np.union1d(runs[key], own) if key in runs else own  # a share may send more than once
+        by: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        for (h, slot, part), x in sorted(runs.items(), key=lambda r: r[0]):
+            by.setdefault((h, slot), []).append((part, x))
+        for (h, slot), own in by.items():
+            every = np.sort(np.concatenate([x for _, x in own]))
+            both = every[1:][every[1:] == every[:-1]]
+            for part, x in own:
+                i = np.searchsorted(both, x).clip(max=max(0, len(both) - 1))
+                hit = x[both[i] == x] if len(both) else x[:0]
+                if len(hit):
+                    yield batch(STRINGS, [h], [slot], [part], [hit.tobytes()])
+
+
+def _heard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (task, ord): what a share heard, then its segments; the runs of
+    places whose strings are among it."""
+    kind = np.dtype([("a", U), ("b", U)])
+    task, heard, known = None, [], np.zeros(0, kind)
+    for b in batches:
+        out = []
+        for t, h_raw, f1, f2, n, segment in zip(*(b.column(c).to_pylist() for c in ("task", "raw", "f1", "f2", "starts", "segment")), strict=True):
+            if t != task:
+                task, heard, known = t, [], np.zeros(0, kind)
+            if h_raw is not None:
+                heard.append(np.frombuffer(h_raw, kind))
+                continue
+            if heard:
+                known, heard = np.unique(np.concatenate([known, *heard])), []
+            if not len(known):
+                continue
+            a, c, _ = _fingerprints([segment], np.array([n]))
+            x = _pairs(a, c)
+            i = np.searchsorted(known, x).clip(max=len(known) - 1)
+            hit = known[i] == x
+            if hit.any():
+                out.append((f1, f2, _runs(hit)))
+        if out:
+            yield batch(FOUND, *map(list, zip(*out, strict=True)))
+
+
+def _across(shares: DataFrame) -> DataFrame:
+    """(f1, f2, runs) of strings that several shares of a gram have. shares: distinct
+    segments of grams that have several tasks."""
+    columns = ("h", "task", "salt", "parts", "f1", "f2", "starts", "segment")
+    shares = shares.select(*columns)
+    offered = shares.repartition("task").sortWithinPartitions("task").mapInArrow(_offer, STRINGS_SQL)
+    ranges = offered.withColumn("range", F.xxhash64("h", "slot")).repartition("range").sortWithinPartitions("range")
+    merged = written(ranges.mapInArrow(_merge, STRINGS_SQL), "merged")
+    none = F.lit(None)
+    told = merged.select(_task(F.col("h"), F.col("part")).alias("task"), F.lit(0).alias("ord"), "raw", none.cast("long").alias("f1"), none.cast("long").alias("f2"), none.cast("int").alias("starts"), none.cast("binary").alias("segment"))
+    own = shares.select("task", F.lit(1).alias("ord"), none.cast("binary").alias("raw"), "f1", "f2", "starts", "segment")
+    return told.unionByName(own).repartition("task").sortWithinPartitions("task", "ord").mapInArrow(_heard, "f1 long, f2 long, runs array<int>")
+
+
+def _task(h, salt):
+    return F.xxhash64(h, salt.cast("int"))
+
+
+def _twice(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts that a partition has many times, two: more tell nothing."""
+    seen: dict[tuple[int, int], int] = {}
+    for b in batches:
+        keep = []
+        for key in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True):
+            n = seen[key] = seen.get(key, 0) + 1
+            keep.append(n <= 2)
+        if len(seen) > 200_000:
+            seen = {}
+        yield b.filter(pa.array(keep))
+
+
 def _free(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of what is no longer referred to."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame]:
     """docs with the keys k1, k2 of each text, and per key the places (start, end) where
     strings that begin there repeat."""
     spark = docs.sparkSession
@@ -298,15 +421,24 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = docs.withColumn("k1", F.xxhash64(raw)).withColumn("k2", F.xxhash64(F.lit(1), F.lit(7), raw))
     texts = keyed.filter(F.octet_length("text") >= LENGTH).select("k1", "k2", "text")
     found = written(texts.mapInArrow(_anchor_rows, "h long, k1 long, k2 long, places array<int>"), "anchors")
-    again = found.groupBy("h").agg(F.sum(F.size("places")).alias("n")).filter("n > 1").select("h")
-    places = found.join(again, "h").groupBy("k1", "k2").agg(F.flatten(F.collect_set("places")).alias("places"))
+    again = found.groupBy("h").agg(F.sum(F.size("places")).alias("all"), F.count("*").alias("n")).filter("all > 1").select("h", "n")
+    places = hot_join(found, again, ["h"], found.count()).groupBy("k1", "k2").agg(F.flatten(F.collect_set("places")).alias("places"))
     places = written(places, "places")
     _free(spark)
-    joined = texts.join(places, ["k1", "k2"]).sortWithinPartitions("k1", "k2")
+    kind = "k1 long, k2 long, text string"
+    joined = texts.mapInArrow(_twice, kind).join(places, ["k1", "k2"]).sortWithinPartitions("k1", "k2")
     segments = written(joined.mapInArrow(_segment_rows, "k1 long, k2 long, first int, starts int, f1 long, f2 long, h long, segment binary"), "segments")
     _free(spark)
-    dealt = segments.filter("segment is not null").select("h", "f1", "f2", "starts", "segment").repartition("h").sortWithinPartitions("h", "f1", "f2")
-    runs = written(dealt.mapInArrow(_shards, "f1 long, f2 long, runs array<int>"), "runs")
+    sent = segments.filter("segment is not null").select("h", "f1", "f2", "starts", "segment")
+    hot = written(sent.groupBy("h").agg(F.sum(F.octet_length("segment")).alias("bytes")).filter(F.col("bytes") > task_bytes).select("h", F.ceil(F.col("bytes") / task_bytes).cast("int").alias("parts")), "hot")
+    many = hot.count()
+    parted = sent.join(F.broadcast(hot) if many <= MAX_HOT else hot, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    parted = parted.withColumn("salt", F.pmod("f1", F.col("parts")).cast("int")).withColumn("task", _task(F.col("h"), F.col("salt")))
+    dealt = parted.select("h", "f1", "f2", "starts", "segment", "task").repartition("task").sortWithinPartitions("task", "h", "f1", "f2")
+    runs = dealt.mapInArrow(_shards, "f1 long, f2 long, runs array<int>")
+    if many:
+        runs = runs.unionByName(_across(parted.filter("parts > 1").dropDuplicates(["task", "f1", "f2"])))
+    runs = written(runs, "runs")
     _free(spark)
     members = segments.select("k1", "k2", "first", "f1", "f2").join(runs, ["f1", "f2"])
     spans = members.select("k1", "k2", F.transform("runs", lambda x: x + F.col("first")).alias("runs")).groupBy("k1", "k2").agg(F.flatten(F.collect_set("runs")).alias("runs"))
@@ -340,19 +472,23 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(REMOVED, b.column("doc_id").slice(t.lo, len(t)), *map(list, zip(*rows, strict=True)))
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    A row for each row; equal rows are copies of each other. Null and empty texts, and
-    those shorter than the length, lose nothing. Other columns are ignored."""
-    keyed, spans = repeats(docs.select("doc_id", "text"))
+    A row for each row, of whole texts however long; equal rows are copies of each other,
+    and of tied copies none is spared. Null and empty texts, and those shorter than the
+    length, lose nothing; an empty table gives an empty result. Other columns, of any
+    name, are ignored."""
+    keyed, spans = repeats(docs.select("doc_id", "text"), task_bytes)
     return keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "runs").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs, all columns, with the repeated bytes cut from text; a character that a cut
     runs through goes as a whole, and n_chars, where there is such a column, counts what
-    is left. Null texts stay null."""
+    is left. Null texts stay null, empty ones empty; rows of null or shared ids and
+    repeated rows are each cut by their own text, however long; an empty table stays
+    empty. Other columns, of any name, are handed on as they are."""
     columns = docs.columns
     others = [c for c in columns if c != "text"]
     keyed, spans = repeats(docs.select(F.struct(*others).alias("_rest"), "text"))
