@@ -23,6 +23,25 @@ def test_check_values(name, value):
     assert checksums.ALGORITHMS[name](CHECK) == value
 
 
+def test_blake2sp_of_one_byte():
+    assert checksums.blake2sp(b"\0").hex() == "a6b9eecc25227ad788c99d3f236debc8da408849e9a5178978727a81457f7239"
+
+
+def test_ppmd():
+    from vaultframe.functions import ppmd
+
+    text = open(__file__, "rb").read()
+    for data in (b"", b"a", b"abracadabra" * 30, text, np.random.default_rng(1).integers(0, 256, 3000).astype(np.uint8).tobytes(), bytes(range(256)) * 8, bytes(30_000)):
+        for order in (2, 6, 16):
+            packed = ppmd.encode(data, order)
+            assert ppmd.decode(packed, len(data), order) == data
+    assert len(ppmd.encode(text)) < len(zlib.compress(text, 9))
+    with pytest.raises(FormatError):
+        ppmd.encode(text * 3, 6, 1 << 15)  # a model that outgrows its memory is refused
+    with pytest.raises(ValueError):
+        ppmd.decode(ppmd.encode(text)[:200], len(text))
+
+
 def test_blake2sp_of_nothing():
     assert checksums.blake2sp(b"").hex() == "dd0e891776933f43c7d032b08a917e25741f8aa9a12c12e1cac8801500f2ca4f"
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vaultframe.functions import legacy
+from vaultframe.functions import legacy, ppmd
 from vaultframe.functions.legacy import FormatError
 
 
@@ -194,6 +194,23 @@ def _zstd_encode(data: bytes, c: Context) -> bytes:
     return zstandard.ZstdCompressor(level=3 if c.level is None else c.level, dict_data=zstandard.ZstdCompressionDict(c.properties) if c.properties else None, write_checksum=True).compress(data)
 
 
+#: Order and memory of PPMd, as 7z keeps them.
+PPMD_PROPERTIES = bytes([6]) + struct.pack("<I", 1 << 24)
+
+
+def _ppmd(c: Context) -> tuple[int, int]:
+    raw = c.properties or PPMD_PROPERTIES
+    return raw[0], struct.unpack("<I", raw[1:5])[0]
+
+
+def _ppmd_decode(data: bytes, c: Context) -> bytes:
+    if c.size is None:
+        raise UnsupportedCodec("ppmd needs the content's size")
+    if c.limit is not None and c.size > c.limit:
+        raise TooLarge("content is larger than allowed")
+    return ppmd.decode(data, c.size, *_ppmd(c))
+
+
 def _sized(name: str) -> Callable[[bytes, Context], bytes]:
     def run(data: bytes, c: Context) -> bytes:
         if c.size is None:
@@ -221,6 +238,7 @@ CODECS = (
     Codec("lzma2", lambda d, c: _streams(lambda: lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[_lzma2_filter(c)]), d, c), lambda d, c: lzma.compress(d, lzma.FORMAT_RAW, filters=[_lzma2_filter(c)])),
     Codec("lzip", lzip_decode, lzip_encode),
     Codec("xz", lambda d, c: _streams(lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ), d, c, True)),
+    Codec("ppmd", _ppmd_decode, lambda d, c: ppmd.encode(d, *_ppmd(c))),
     Codec("zstd", _zstd_decode, _zstd_encode, (1, 22)),
     *(Codec(n, _free(n)) for n in ("deflate64", "lzw", "rle90", "squeezed", "crunched", "adc")),
     *(Codec(n, _sized(n)) for n in ("shrink", "arj_lha", "arj_lh")),

@@ -14,6 +14,7 @@ import numpy as np
 import zstandard
 
 from vaultframe.functions import checksums, crypto, filters
+from vaultframe.functions.codecs import DEFAULT, PPMD_PROPERTIES
 from vaultframe.sources import sevenzip
 from vaultframe.sources.writers import Item, WriteOptions, write_tar
 
@@ -277,6 +278,9 @@ SEVENZIP = {
 }
 
 
+ppmd = sevenzip_by(b"\x23\x03\x04\x01\x05" + PPMD_PROPERTIES, lambda x: DEFAULT.get("ppmd").compress(x))
+
+
 def arc(method: int, pack=lambda x: x):
     def make(items: list[Item]) -> bytes:
         out = bytearray()

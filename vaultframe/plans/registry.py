@@ -186,6 +186,25 @@ def _nation_packs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return build_archives(n, "pack", kind)
 
 
+def _part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.pmod("p_partkey", F.lit(16)).alias("pack"), F.col("p_partkey").cast("string").alias("key"), F.encode("p_name", "UTF-8").alias("content"))
+
+
+_PARTS_SQL = "SELECT CAST(p_partkey AS VARCHAR) AS key, CAST(octet_length(encode(p_name)) AS BIGINT) AS size, md5(p_name) AS content_md5 FROM part"
+
+
+@query("sevenzip_ppmd", _PARTS_SQL)
+def sevenzip_ppmd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(packed_entries(_part_files(spark, sf_dir), made.ppmd))
+
+
+@query("codec_ppmd", "SELECT p_partkey, md5(p_comment) AS content_md5 FROM (SELECT p_partkey, repeat(p_name, 20) AS p_comment FROM part)")
+def codec_ppmd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dealt(table(spark, sf_dir, "part").select("p_partkey", F.encode(F.repeat("p_name", 20), "UTF-8").alias("raw")))
+    d = d.withColumn("out", codecs.decompress(codecs.compress(F.col("raw"), "ppmd"), "ppmd", F.octet_length("raw")))
+    return d.select("p_partkey", F.md5("out").alias("content_md5"))
+
+
 @query("split_volumes", _NATIONS_SQL)
 def split_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives cut into .001, .002, .003, read through Spark's own source of files."""

@@ -72,7 +72,7 @@ def _zip_entry(data: bytes, registry: Registry, o: Options, flags: int, method:
                 raise Unsupported("LZMA under the traditional cipher")
             else:
                 raw = crypto.zipcrypto(raw, o.password.encode(), (time >> 8 & 255) if flags & 8 else crc >> 24)
-        if not codec:
+        if not codec or codec == "ppmd":  # zip's PPMd is another variant than 7z's
             raise Unsupported(f"zip method {method}")
         _guard(e.size, len(raw), o)
         most = o.limit(len(raw)) if e.size is None else e.size

@@ -192,7 +192,7 @@ def _run(c: Coder, inputs: list[bytes], size: int, registry: Registry, o: Option
         return filters.apply("delta", inputs[0], distance=c.properties[0] + 1)
     if name in filters.NAMES:
         return filters.apply(name, inputs[0])
-    data = registry.get(name).decompress(inputs[0], Context(size, c.properties if name in ("lzma", "lzma2") else b"", limit=size))
+    data = registry.get(name).decompress(inputs[0], Context(size, c.properties if name in ("lzma", "lzma2", "ppmd") else b"", limit=size))
     if len(data) < size:
         raise Incomplete("7z stream ends early")
     return data[:size]
