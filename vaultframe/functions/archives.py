@@ -42,6 +42,31 @@ def is_archive(content: Column) -> Column:
     return archive_type(content).isNotNull()
 
 
+#: How each format can be read: entry by entry at will, or forward alone.
+ACCESS = {"Zip": "Archive,Reader", "Rar": "Archive,Reader", "Tar": "Archive,Reader", "GZip": "Archive,Reader", "SevenZip": "Archive", "Lzw": "Reader", "Arc": "Reader", "Arj": "Reader", "Ace": "Reader"}
+
+
+def detect_archive(content: Column) -> Column:
+    """struct(container_type, format_name, outer_compression_type, supported_apis) of a
+    binary column; a compressed tar is read forward alone. Nulls if it is no archive."""
+    d = detected(content)
+    kind, outer = d.archive_type, d.outer_compression
+    apis = F.create_map(*(F.lit(x) for pair in ACCESS.items() for x in pair))[kind]
+    apis = F.when((kind == "Tar") & (outer != "None"), "Reader").otherwise(F.coalesce(apis, F.lit("Reader")))
+    return F.when(kind.isNotNull(), F.struct(kind.alias("container_type"), kind.alias("format_name"), outer.alias("outer_compression_type"), F.split(apis, ",").alias("supported_apis")))
+
+
+def file_parts(files: DataFrame) -> DataFrame:
+    """files (path, ...) -> whole, part, place: which archive each file is a part of, and
+    where in it."""
+
+    @F.pandas_udf("whole string, place int")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([detect.volume_of(x) for x in s], columns=["whole", "place"])
+
+    return files.select(F.col("path").alias("part"), run("path").alias("v")).select("v.whole", "part", "v.place")
+
+
 class _Entries:
     """Rows of an archive, for SQL: FROM t, LATERAL archive_entries(t.content)."""
 

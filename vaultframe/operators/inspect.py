@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -22,7 +22,9 @@ def inspect(entries: DataFrame) -> DataFrame:
         F.sum("compressed_size").alias("compressed_payload_size"),
         F.bool_or("is_solid").alias("is_solid"), F.sum("_run").alias("solid_stream_count"),
         F.bool_or("is_encrypted").alias("is_encrypted"), told("encryption").alias("encryption"), F.bool_and("is_complete").alias("is_complete"),
-        F.when(F.bool_and("is_complete"), "Complete").otherwise("Incomplete").alias("status"), told("archive_comment").alias("comment"),
+        F.when(F.bool_or("is_encrypted"), "EntryData").otherwise("None").alias("encryption_scope"),
+        F.when(F.bool_and("is_complete"), "Complete").otherwise("Partial").alias("status"), told("archive_comment").alias("comment"),
+        F.when(F.bool_and("is_complete") & (F.count(F.when(unknown, 1)) == 0), "None").when(F.bool_and("is_complete"), "UnavailableMetadata").otherwise("MissingVolumes").alias("limitations"),
         (F.max("volume_index_last") > 0).alias("is_multi_volume"), (F.max("volume_index_last") + 1).alias("physical_part_count"),
         (F.max("volume_index_last") + 1).alias("logical_volume_count"),
     )
@@ -37,3 +39,15 @@ def first_in_folder(entries: DataFrame) -> DataFrame:
     """is_solid by position: every entry but the first of its folder."""
     w = Window.partitionBy("archive_path", "folder").orderBy("entry_index")
     return entries.withColumn("is_solid", F.col("folder").isNotNull() & (F.row_number().over(w) > 1))
+
+
+def quarantined(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries read under onError "null": those without an error, and those with one."""
+    return entries.filter("error is null"), entries.filter("error is not null")
+
+
+def watched(entries: DataFrame, name: str | Observation) -> DataFrame:
+    """entries, with the counts of what has gone through as an observation of that name:
+    progress for listeners of batch and streaming queries."""
+    size = F.coalesce(F.sum(F.octet_length("content")), F.lit(0)) if "content" in entries.columns else F.coalesce(F.sum("size"), F.lit(0))
+    return entries.observe(name, F.count("*").alias("entries"), size.alias("bytes"), F.count("error").alias("errors"))

@@ -7,8 +7,8 @@ and those entries rather than the archive. A zip, a plain tar or a 7z larger tha
 partitionBytes is dealt to several tasks by its entries or folders. For paths that only
 Spark reaches, read_archives() does the same over the binaryFile source.
 
-Options: content (false: metadata alone), format, password, encoding, lookForHeader,
-streaming, key, keyGlob, onError (fail, null), maxEntryBytes, maxRatio, maxWholeBytes,
+Options: content (false: metadata alone), format, password, encoding, forceEncoding,
+lookForHeader, streaming, key, keyGlob, onError (fail, null), maxEntryBytes, maxRatio, maxWholeBytes,
 partitionBytes, pathGlobFilter."""
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from vaultframe.sources.writers import EXTENSION, Item, WriteOptions, write
 
 def options_of(o: dict[str, str]) -> Options:
     low = {k.lower(): v for k, v in o.items()}
-    return Options(low.get("password"), low.get("encoding", "cp437"), low.get("lookforheader", "false") == "true", low.get("streaming", low.get("mode", "") == "streaming" and "true" or "false") == "true", int(low.get("maxentrybytes", 1 << 30)), int(low.get("maxratio", 100_000)), low.get("extensionhint", ""), int(low.get("maxwholebytes", 4 << 30)))
+    return Options(low.get("password"), low.get("encoding", "cp437"), low.get("lookforheader", "false") == "true", low.get("streaming", low.get("mode", "") == "streaming" and "true" or "false") == "true", int(low.get("maxentrybytes", 1 << 30)), int(low.get("maxratio", 100_000)), low.get("extensionhint", ""), low.get("forceencoding", "false") == "true", int(low.get("maxwholebytes", 4 << 30)))
 
 
 def rows_of(path: str, data: bytes, o: Options, content: bool, on_error: str = "fail", keep: Any = None, kind: str | None = None, share: tuple[int, int] = (0, 1)) -> Iterator[tuple]:
@@ -100,8 +100,8 @@ def _visible(folders: list[str]) -> bool:
 class ArchiveReader(DataSourceReader):
     """Reads local and mounted paths."""
 
-    def __init__(self, schema: StructType, options: dict[str, str]):
-        self.o = {k.lower(): v for k, v in options.items()}
+    def __init__(self, schema: StructType, options: dict[str, str], formats: dict | None = None):
+        self.o, self.formats = {k.lower(): v for k, v in options.items()}, formats or {}
         self.content = "content" in schema.fieldNames()
         self.wanted: dict[str, Any] = {}
 
@@ -128,6 +128,7 @@ class ArchiveReader(DataSourceReader):
         return [Group(x) for x in out if x] + shares
 
     def read(self, partition: Group) -> Iterator[tuple]:
+        detect.FORMATS.update(self.formats)
         o = options_of(self.o)
         key, glob = self.wanted.get("key", self.o.get("key")), self.o.get("keyglob")
         path = self.wanted.get("archive_path")
@@ -181,7 +182,7 @@ class ArchiveWriter(DataSourceWriter):
 
         t = TaskContext.get()
         kind = self.o.get("type", "zip").lower()
-        o = WriteOptions(self.o.get("codec"), int(self.o["level"]) if "level" in self.o else None, self.o.get("comment", ""), self.o.get("zip64") == "true", self.o.get("tarformat", "gnu"), self.o.get("finalize", "true") == "true", self.o.get("compressedheader") == "true")
+        o = WriteOptions(self.o.get("codec"), int(self.o["level"]) if "level" in self.o else None, self.o.get("comment", ""), self.o.get("zip64") == "true", self.o.get("tarformat", "gnu"), self.o.get("finalize", "true") == "true", self.o.get("compressedheader") == "true", dictionary=int(self.o.get("dictionary", 1 << 20)), fast_bytes=int(self.o.get("fastbytes", 32)))
         limit = int(self.o.get("maxarchivebytes", 256 << 20))
         where = os.path.join(self.temporary, f"{t.partitionId()}-{t.taskAttemptId()}")
         items: list[Item] = []
@@ -226,6 +227,9 @@ class ArchiveWriter(DataSourceWriter):
 
 
 class ArchiveSource(DataSource):
+    #: Formats beside the built-in ones.
+    formats: dict = {}
+
     @classmethod
     def name(cls) -> str:
         return "archive"
@@ -235,14 +239,20 @@ class ArchiveSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         pushing = str(self.options.get("pushdown", "false")).lower() == "true"
-        return (PushingReader if pushing else ArchiveReader)(schema, dict(self.options))
+        return (PushingReader if pushing else ArchiveReader)(schema, dict(self.options), self.formats)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return ArchiveWriter(schema, dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(ArchiveSource)
+    """Formats added by detect.register() before this go along to the tasks."""
+    own = dict(detect.added())
+
+    class Source(ArchiveSource):
+        formats = own
+
+    spark.dataSource.register(Source)
 
 
 def explode_archives(files: DataFrame, content: bool = True, on_error: str = "fail", **options: str) -> DataFrame:
@@ -254,8 +264,10 @@ def explode_archives(files: DataFrame, content: bool = True, on_error: str = "fa
     schema = CONTENT if content else SCHEMA
     arrow = to_arrow_schema(schema)
     o = options_of(options)
+    own = detect.added()
 
     def step(batches):
+        detect.FORMATS.update(own)
         for b in batches:
             volumes = b.column("sizes").to_pylist() if "sizes" in b.schema.names else [()] * len(b)
             for path, data, sizes in zip(b.column("path").to_pylist(), b.column("content"), volumes, strict=True):

@@ -103,6 +103,14 @@ FORMATS: dict[str, tuple[Probe, Read]] = {
 }
 
 
+_BUILT_IN = frozenset(FORMATS)
+
+
+def added() -> dict[str, tuple[Probe, Read]]:
+    """Formats that register() added, to be sent along to tasks."""
+    return {k: v for k, v in FORMATS.items() if k not in _BUILT_IN}
+
+
 def register(name: str, probe: Probe, read: Read, extensions: tuple[str, ...] = ()) -> None:
     """Adds a format, tried after the others."""
     FORMATS[name] = (probe, read)

@@ -30,6 +30,8 @@ def _extras(raw: bytes) -> dict[int, bytes]:
 
 
 def _zip_name(raw: bytes, flags: int, extras: dict[int, bytes], o: Options) -> str:
+    if o.force_encoding:
+        return raw.decode(o.encoding, "replace")
     x = extras.get(0x7075)
     if x and x[0] == 1 and struct.unpack_from("<I", x, 1)[0] == zlib.crc32(raw):
         return x[5:].decode("utf-8", "replace")
@@ -53,6 +55,9 @@ def _zip_entry(data: bytes, registry: Registry, o: Options, flags: int, method:
                 at += 4
         e.last_accessed, e.created = when.get("last_accessed"), when.get("created")
         e.last_modified = when.get("last_modified", e.last_modified)
+    x = extras.get(0x0A)
+    if x and len(x) >= 32 and struct.unpack_from("<HH", x, 4) == (1, 24):  # NTFS times
+        e.last_modified, e.last_accessed, e.created = (file_time(n) for n in struct.unpack_from("<QQQ", x, 8))
     if comment:
         e.format_meta["comment"] = comment
     if flags & 1:

@@ -82,6 +82,8 @@ class Options:
     #: Content may be so many times the size of its archive.
     max_ratio: int = 100_000
     extension: str = ""
+    #: Names are in this encoding whatever the archive says.
+    force_encoding: bool = False
     #: Bytes of what is decompressed as one: a tar's wrapper, a 7z folder.
     max_whole_bytes: int = 4 << 30
     #: Sizes of the volumes that make up the bytes, where there are several.

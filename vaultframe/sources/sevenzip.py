@@ -323,14 +323,16 @@ def _packed_streams(packed: list[bytes], sizes: list[int], crcs: list[int], code
     return b"\x06" + _number(0) + _number(n) + b"\x09" + b"".join(_number(len(p)) for p in packed) + b"\0" + b"\x07\x0b" + _number(n) + b"\0" + coder * n + b"\x0c" + b"".join(map(_number, sizes)) + b"\x0a\x01" + b"".join(struct.pack("<I", c) for c in crcs) + b"\0\0"
 
 
-def write_sevenzip(rows: list[tuple[str, bytes | None, object]], method: str = "lzma", compressed_header: bool = False, dictionary: int = 1 << 20) -> bytes:
+def write_sevenzip(rows: list[tuple[str, bytes | None, object]], method: str = "lzma", compressed_header: bool = False, dictionary: int = 1 << 20, fast_bytes: int = 32) -> bytes:
     """rows: key, content (None for a directory), modification time."""
     if method not in ("lzma", "lzma2"):
         raise Unsupported(f"7z is written with LZMA or LZMA2, not {method}")
+    if not (1 << 12 <= dictionary <= 1 << 30 and 5 <= fast_bytes <= 273):
+        raise ValueError(f"LZMA takes dictionaries of 4 KiB to 1 GiB and 5 to 273 fast bytes, not {dictionary} and {fast_bytes}")
     bits = dictionary.bit_length() - 1
 
     def pack(x: bytes) -> bytes:
-        step = {"id": lzma.FILTER_LZMA1 if method == "lzma" else lzma.FILTER_LZMA2, "lc": 3, "lp": 0, "pb": 2, "dict_size": 1 << bits}
+        step = {"id": lzma.FILTER_LZMA1 if method == "lzma" else lzma.FILTER_LZMA2, "lc": 3, "lp": 0, "pb": 2, "dict_size": 1 << bits, "nice_len": fast_bytes}
         return lzma.compress(x, lzma.FORMAT_RAW, filters=[step])
 
     coder = b"\x01\x23\x03\x01\x01\x05\x5d" + struct.pack("<I", 1 << bits) if method == "lzma" else b"\x01\x21\x21\x01" + bytes([(bits - 12) * 2])

@@ -27,6 +27,9 @@ class WriteOptions:
     finalize: bool = True
     compressed_header: bool = False
     streaming: bool = False
+    #: Of 7z's LZMA and LZMA2.
+    dictionary: int = 1 << 20
+    fast_bytes: int = 32
 
 
 @dataclass(frozen=True)
@@ -119,7 +122,7 @@ def write(kind: str, items: list[Item], o: WriteOptions = WriteOptions()) -> byt
     if kind == "gzip":
         return write_gzip(items, o)
     if kind in ("7z", "sevenzip"):
-        return write_sevenzip([(x.key, x.content, x.modified) for x in items], o.codec or "lzma", o.compressed_header)
+        return write_sevenzip([(x.key, x.content, x.modified) for x in items], o.codec or "lzma", o.compressed_header, o.dictionary, o.fast_bytes)
     raise Unsupported(f"{kind} isn't written")
 
 
