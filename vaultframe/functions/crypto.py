@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from functools import lru_cache
 
 import numpy as np
 
@@ -160,6 +161,7 @@ def zipcrypto(data: bytes, password: bytes, check: int | None = None, encrypt: b
     return bytes(out[12:])
 
 
+@lru_cache(64)
 def sevenzip_key(password: str, cycles: int, salt: bytes) -> bytes:
     """SHA-256 over 2 ** cycles repetitions of salt, password (UTF-16) and counter."""
     text = password.encode("utf-16-le")
@@ -171,6 +173,7 @@ def sevenzip_key(password: str, cycles: int, salt: bytes) -> bytes:
     return digest.digest()
 
 
+@lru_cache(64)
 def rar5_key(password: str, salt: bytes, log_rounds: int) -> bytes:
     return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, 1 << log_rounds, 32)
 
@@ -182,6 +185,7 @@ def rar5_check(password: str, salt: bytes, log_rounds: int) -> bytes:
     return bytes(value[i] ^ value[i + 8] ^ value[i + 16] ^ value[i + 24] for i in range(8))
 
 
+@lru_cache(64)
 def rar3_key(password: str, salt: bytes) -> tuple[bytes, bytes]:
     """Key and initial vector: SHA-1 over 2 ** 18 repetitions, the vector's bytes taken
     on the way."""

@@ -311,15 +311,21 @@ def ace(items: list[Item]) -> bytes:
     return out
 
 
-def rar4(items: list[Item]) -> bytes:
+def rar4(password: str | None = None):
     def block(head: bytes) -> bytes:
         return struct.pack("<H", zlib.crc32(head) & 0xFFFF) + head
 
-    out = b"Rar!\x1a\x07\0" + block(struct.pack("<BHH6x", 0x73, 0, 13))
-    for x in items:
-        name, n = x.key.encode(), len(x.content)
-        out += block(struct.pack("<BHHIIBIIBBHI", 0x74, 0x8000, 32 + len(name), n, n, 2, zlib.crc32(x.content), WHEN, 20, 0x30, len(name), 32) + name) + x.content
-    return out
+    def make(items: list[Item]) -> bytes:
+        out, salt = b"Rar!\x1a\x07\0" + block(struct.pack("<BHH6x", 0x73, 0, 13)), b"saltsalt" if password else b""
+        for x in items:
+            name, body = x.key.encode(), x.content
+            if password:
+                body = crypto.aes_cbc_encrypt(*crypto.rar3_key(password, salt), body + bytes(-len(body) % 16))
+            flags = 0x8404 if password else 0x8000
+            out += block(struct.pack("<BHHIIBIIBBHI", 0x74, flags, 32 + len(name) + len(salt), len(body), len(x.content), 2, zlib.crc32(x.content), WHEN, 29, 0x30, len(name), 32) + name + salt) + body
+        return out
+
+    return make
 
 
 def _vint(n: int) -> bytes:

@@ -116,7 +116,8 @@ for _name, _make in made.SEVENZIP.items():
 for _name, _method, _pack in (("stored", 0, lambda x: x), ("best", 1, made.arj_best), ("fastest", 4, made.arj_fastest)):
     _round_trip(f"arj_{_name}", made.arj(_method, _pack))
 _round_trip("ace_stored", made.ace)
-_round_trip("rar4_stored", made.rar4)
+_round_trip("rar4_stored", made.rar4())
+_round_trip("rar4_encrypted", made.rar4(made.PASSWORD), password=made.PASSWORD)
 _round_trip("rar5_stored", made.rar5(0))
 _round_trip("rar5_packed", made.rar5(1))
 _round_trip("rar5_encrypted", made.rar5(0, made.PASSWORD), password=made.PASSWORD)

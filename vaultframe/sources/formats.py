@@ -421,15 +421,44 @@ def _joined(data: bytes, e: Entry, pieces: list[tuple[int, int]]) -> bytes:
     return b"".join(data[at : at + n] for at, n in pieces)
 
 
-def _stored(data: bytes, e: Entry, stored: bool, pieces: list[tuple[int, int]]) -> None:
+def _stored(data: bytes, e: Entry, stored: bool, pieces: list[tuple[int, int]], salt: bytes | None, o: Options) -> None:
     def read() -> bytes:
-        if e.is_encrypted or not stored:
+        if not stored:
             raise Unsupported("of rar before version 5, only stored entries are read")
-        return _joined(data, e, pieces)
+        raw = _joined(data, e, pieces)
+        if not e.is_encrypted:
+            return raw
+        if salt is None:
+            raise Unsupported("a cipher of rar before version 3")
+        if o.password is None:
+            raise ArchiveError("a password is needed")
+        body = crypto.aes_cbc_decrypt(*crypto.rar3_key(o.password, salt), raw)[: e.size]
+        if checksums.crc32(body) != e.crc:
+            raise crypto.BadPassword("bad password")
+        return body
 
     e.read = read
 
 
+def _rar5_password(o: Options, rounds: int, salt: bytes, check: bytes) -> bytes:
+    """The key, once the password has been found to fit."""
+    if o.password is None:
+        raise ArchiveError("a password is needed")
+    if check and crypto.rar5_check(o.password, salt, rounds) != check[:8]:
+        raise crypto.BadPassword("bad password")
+    return crypto.rar5_key(o.password, salt, rounds)
+
+
+def _sealed(data: bytes, at: int, key: bytes) -> tuple[bytes, int]:
+    """An encrypted version 5 header behind its vector, and where it ends."""
+    iv = data[at : at + 16]
+    n, i = _vint(crypto.aes_cbc_decrypt(key, iv, data[at + 16 : at + 32]), 4)
+    full = -(-(i + n) // 16) * 16
+    if at + 16 + full > len(data):
+        raise Incomplete("archive ends within a header")
+    return crypto.aes_cbc_decrypt(key, iv, data[at + 16 : at + 16 + full])[: i + n], at + 16 + full
+
+
 class _Rar5Stream:
     """Contents in order: a solid entry needs those before it decoded."""
 
@@ -449,9 +478,7 @@ class _Rar5Stream:
         if self.o.password is None:
             raise ArchiveError("a password is needed")
         rounds, salt, iv, check = crypt
-        if check and crypto.rar5_check(self.o.password, salt, rounds) != check[:8]:
-            raise crypto.BadPassword("bad password")
-        return crypto.aes_cbc_decrypt(crypto.rar5_key(self.o.password, salt, rounds), iv, raw)
+        return crypto.aes_cbc_decrypt(_rar5_password(self.o, rounds, salt, check), iv, raw)
 
     def read(self, at: int) -> bytes:
         e, method, _, _ = self.parts[at]
@@ -474,50 +501,65 @@ def _rar4(data: bytes, at: int, o: Options) -> Iterator[Entry]:
     """Volumes come one after another in data; an entry that goes on in the next one is
     yielded when its last part has been seen."""
     waiting: tuple[Entry, list[tuple[int, int]]] | None = None
-    volume = 0
+    volume, sealed = 0, False
     while at + 7 <= len(data):
         if data[at : at + 7] == b"Rar!\x1a\x07\0":
-            at, volume = at + 7, volume + 1
+            at, volume, sealed = at + 7, volume + 1, False
             continue
-        _, kind, flags, n = struct.unpack_from("<HBHH", data, at)
+        head, body = (data[at : at + 65536], None) if not sealed else _sealed3(data, at, o)
+        _, kind, flags, n = struct.unpack_from("<HBHH", head)
         if n < 7:
             raise Damaged("rar header without a size")
-        packed = struct.unpack_from("<I", data, at + 7)[0] if flags & 0x8000 or kind == 0x74 else 0
-        if zlib.crc32(data[at + 2 : at + n]) & 0xFFFF != struct.unpack_from("<H", data, at)[0] and kind in (0x73, 0x74):
+        body = at + n if body is None else body
+        packed = struct.unpack_from("<I", head, 7)[0] if flags & 0x8000 or kind == 0x74 else 0
+        if zlib.crc32(head[2:n]) & 0xFFFF != struct.unpack_from("<H", head)[0] and kind in (0x73, 0x74):
             raise Damaged("rar header's checksum does not match")
         if kind == 0x73 and flags & 0x80:
-            raise Unsupported("encrypted rar headers")
-        if kind == 0x7B and data[at + n : at + n + 7] != b"Rar!\x1a\x07\0":
+            if o.password is None:
+                raise ArchiveError("a password is needed")
+            sealed, at = True, at + n
+            continue
+        if kind == 0x7B and data[body : body + 7] != b"Rar!\x1a\x07\0":
             break
         if kind == 0x74:
-            full, host, crc, time, version, method, length, attrib = struct.unpack_from("<IBIIBBHI", data, at + 11)
-            i = at + 32
+            full, host, crc, time, version, method, length, attrib = struct.unpack_from("<IBIIBBHI", head, 11)
+            i = 32
             if flags & 0x100:
-                high, high_full = struct.unpack_from("<II", data, i)
+                high, high_full = struct.unpack_from("<II", head, i)
                 packed, full, i = packed | high << 32, full | high_full << 32, i + 8
-            raw = data[i : i + length]
+            raw, salt = head[i : i + length], head[i + length : i + length + 8] if flags & 0x400 else None
             name = raw.split(b"\0")[0].decode("utf-8", "replace") if flags & 0x200 and b"\0" not in raw else rar_name(raw) if flags & 0x200 else raw.decode(o.encoding, "replace")
             e = Entry("Rar", name.replace("\\", "/"), "None" if method == 0x30 else "Rar", full, packed, crc, dos_time(time), is_directory=flags & 0xE0 == 0xE0, is_encrypted=bool(flags & 4), is_split_after=bool(flags & 2), is_solid=bool(flags & 16), is_complete=not flags & 3, volume_index_first=volume, volume_index_last=volume, attrib=attrib - (attrib >> 31 << 32), check=None if flags & 4 or flags & 0xE0 == 0xE0 else checksums.crc32)
             e.format_meta |= {"version": str(version), "host_os": str(host), "format_version": "4"}
             if flags & 1 and waiting and waiting[0].key == e.key:
                 e, part = waiting[0], e
-                waiting[1].append((at + n, packed))
+                waiting[1].append((body, packed))
                 e.compressed_size += packed
                 e.crc, e.volume_index_last, e.is_complete, e.is_split_after = part.crc, volume, not flags & 2, part.is_split_after
             else:
                 if waiting:
                     yield waiting[0]
-                pieces = [(at + n, packed)]
-                _stored(data, e, method == 0x30, pieces)
+                pieces = [(body, packed)]
+                _stored(data, e, method == 0x30, pieces, salt, o)
                 waiting = (e, pieces)
             if not flags & 2:
                 waiting = None
                 yield e
-        at += n + packed
+        at = body + packed
     if waiting:
         yield waiting[0]
 
 
+def _sealed3(data: bytes, at: int, o: Options) -> tuple[bytes, int]:
+    """An encrypted version 3 header behind its salt, and where its content starts."""
+    key, iv = crypto.rar3_key(o.password, data[at : at + 8])
+    n = struct.unpack_from("<H", crypto.aes_cbc_decrypt(key, iv, data[at + 8 : at + 24]), 5)[0]
+    full = -(-max(n, 7) // 16) * 16
+    if at + 8 + full > len(data):
+        raise crypto.BadPassword("bad password, or the archive ends within a header")
+    return crypto.aes_cbc_decrypt(key, iv, data[at + 8 : at + 8 + full]), at + 8 + full
+
+
 def rar_name(raw: bytes) -> str:
     """A version 4 name: plain bytes, a zero, and how they become UTF-16."""
     plain, _, code = raw.partition(b"\0")
@@ -551,44 +593,51 @@ def rar_name(raw: bytes) -> str:
 
 
 def _rar5(data: bytes, at: int, o: Options) -> Iterator[Entry]:
-    stream, volume = _Rar5Stream(data, o), 0
+    stream, volume, key = _Rar5Stream(data, o), 0, None
     waiting: tuple[Entry, list[tuple[int, int]]] | None = None
     while at + 7 <= len(data):
         if data[at : at + 8] == b"Rar!\x1a\x07\x01\0":
-            at, volume = at + 8, volume + 1
+            at, volume, key = at + 8, volume + 1, None
             continue
-        crc = struct.unpack_from("<I", data, at)[0]
-        n, i = _vint(data, at + 4)
-        end = i + n
-        if zlib.crc32(data[at + 4 : end]) != crc:
+        if key is None:
+            n, i = _vint(data, at + 4)
+            head, end = data[at : i + n], i + n
+        else:
+            head, end = _sealed(data, at, key)
+        if len(head) < 7 or zlib.crc32(head[4:]) != struct.unpack_from("<I", head)[0]:
             raise Damaged("rar header's checksum does not match")
-        kind, i = _vint(data, i)
-        flags, i = _vint(data, i)
+        _, i = _vint(head, 4)
+        kind, i = _vint(head, i)
+        flags, i = _vint(head, i)
         extra = packed = 0
         if flags & 1:
-            extra, i = _vint(data, i)
+            extra, i = _vint(head, i)
         if flags & 2:
-            packed, i = _vint(data, i)
+            packed, i = _vint(head, i)
         if kind == 4:
-            raise Unsupported("encrypted rar headers")
+            _, i = _vint(head, i)
+            own, i = _vint(head, i)
+            key = _rar5_password(o, head[i], head[i + 1 : i + 17], head[i + 17 : i + 29] if own & 1 else b"")
+            at = end
+            continue
         if kind == 5 and data[end : end + 8] != b"Rar!\x1a\x07\x01\0":
             break
         if kind == 2:
-            own, i = _vint(data, i)
-            full, i = _vint(data, i)
-            attrib, i = _vint(data, i)
+            own, i = _vint(head, i)
+            full, i = _vint(head, i)
+            attrib, i = _vint(head, i)
             mtime = check = None
             if own & 2:
-                mtime, i = unix_time(struct.unpack_from("<I", data, i)[0]), i + 4
+                mtime, i = unix_time(struct.unpack_from("<I", head, i)[0]), i + 4
             if own & 4:
-                check, i = struct.unpack_from("<I", data, i)[0], i + 4
-            method, i = _vint(data, i)
-            host, i = _vint(data, i)
-            length, i = _vint(data, i)
-            name = data[i : i + length].decode("utf-8", "replace")
+                check, i = struct.unpack_from("<I", head, i)[0], i + 4
+            method, i = _vint(head, i)
+            host, i = _vint(head, i)
+            length, i = _vint(head, i)
+            name = head[i : i + length].decode("utf-8", "replace")
             e = Entry("Rar", name, "None" if not method >> 7 & 7 else "Rar", full, packed, check or 0, mtime, is_directory=bool(own & 1), is_solid=bool(method & 64), is_split_after=bool(flags & 16), is_complete=not flags & 24, volume_index_first=volume, volume_index_last=volume, attrib=attrib if attrib < 1 << 31 else attrib - (1 << 32), check=checksums.crc32 if check is not None else None)
             e.format_meta |= {"version": str(50 + (method & 63)), "host_os": str(host), "format_version": "5"}
-            crypt = _rar5_extra(data[end - extra : end], e)
+            crypt = _rar5_extra(head[len(head) - extra :] if extra else b"", e)
             if e.is_encrypted:
                 e.check = None
             if flags & 8 and waiting and waiting[0].key == e.key:
