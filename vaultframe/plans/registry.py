@@ -5,6 +5,8 @@ the table: a codec or a header that is wrong changes the answer."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -53,7 +55,9 @@ def own_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.gettempdir()
-    return f"{root.removeprefix('file://').rstrip('/')}/vaultframe-{uuid.uuid4().hex}"
+    path = f"{root.removeprefix('file://').rstrip('/')}/vaultframe-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, path, True)
+    return path
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,7 +464,8 @@ def unsafe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _each_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_name", F.col("n_name").alias("key"), F.encode("n_name", "UTF-8").alias("content"))
     made = {"zip": ("zip", None), "tar": ("tar", None), "tar.gz": ("tar", "gzip"), "tar.bz2": ("tar", "bzip2"), "tar.lz": ("tar", "lzip"), "7z": ("7z", None)}
-    out = build_archives(n.orderBy("n_name").limit(1).withColumn("pack", F.lit("gzip")), "pack", "gzip")
+    # A gzip holds one file, so every nation has its own.
+    out = build_archives(n.withColumn("pack", F.col("n_name")), "pack", "gzip").withColumn("pack", F.lit("gzip"))
     for name, (kind, codec) in made.items():
         out = out.union(build_archives(n.withColumn("pack", F.lit(name)), "pack", kind, WriteOptions(codec=codec)))
     return out
@@ -475,7 +480,7 @@ def detect_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("archive_type_column", ORACLE_SQL["detect_formats"].replace("SELECT * FROM", "SELECT made, archive_type, true AS agrees FROM"))
 def archive_type_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _each_format(spark, sf_dir).select(F.col("pack").alias("made"), "archive")
-    return made.select("made", archive_type(F.col("archive")).alias("archive_type"), (archive_type(F.col("archive")) == detected(F.col("archive")).archive_type).alias("agrees"))
+    return made.select("made", archive_type(F.col("archive")).alias("archive_type"), (archive_type(F.col("archive")) == detected(F.col("archive")).archive_type).alias("agrees")).distinct()
 
 
 @query("entries_table_function", "SELECT n_name AS key, CAST(length(n_name) AS BIGINT) AS size, md5(n_name) AS content_md5 FROM nation")
