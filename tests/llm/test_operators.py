@@ -243,9 +243,13 @@ def test_spelling_sums_to_one():
     pairs = {b"": {97: 5.0, 98: 2.0}, b"a": {98: 3.0, 255: 1.0}, b"ba": {255: 4.0}}
     s = lm_hpyp.Spelling(pairs)
     seen, share = s.run(6, 2)
-    speller = lm_hpyp.Speller(s.contexts, seen, share, s.parent.tolist())
+    speller = lm_hpyp.Speller(s.contexts, seen, share)
+    every = np.arange(257)
     for context in (b"", b"a", b"ba", b"zz"):
-        assert sum(math.exp(speller.letter(context, w)) for w in range(257)) == pytest.approx(1, abs=0.05)
+        code = np.full(257, int.from_bytes(context, "big"))
+        assert np.exp(speller.letters(every, code, np.full(257, len(context)))).sum() == pytest.approx(1, abs=0.05)
+    each = sum(speller.letters(np.array([w]), np.array([c]), np.array([n]))[0] for w, c, n in ((98, 0xFE, 1), (97, 0xFE62, 2), (255, 0xFE6261, 3)))
+    assert speller.logs([b"ba", b""])[0] == pytest.approx(each)
 
 
 # 7

@@ -5,7 +5,9 @@ tables written to the folder that all executors share."""
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -38,8 +40,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder of spark.checkpoint.dir; where it is unset and all runs in one process
+    (tests), one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not where:
         where = getattr(spark, "_vaultframe_dir", None) or tempfile.mkdtemp(prefix="vaultframe-")
         spark._vaultframe_dir = where
@@ -55,14 +60,33 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df, written as a table in the shared folder and read again: cuts the lineage so
-    that lost executors cost no earlier stage. Removed when the driver ends."""
+    that lost executors cost no earlier stage. Removed when the driver ends, or by
+    done()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vaultframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vaultframe_path = path
+    return out
+
+
+def tidy(spark: SparkSession) -> None:
+    """Frees what the driver holds of plans and broadcasts that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def done(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes written tables that nothing will read again, and lets Spark remove the
+    shuffle files of what is no longer referred to."""
+    for x in tables:
+        _drop(spark, x._vaultframe_path)
+    for _ in range(2):  # references go first, then what they held
+        tidy(spark)
+        time.sleep(0.2)
 
 
 class Texts:

@@ -14,16 +14,15 @@ Identical segments travel at most twice from each partition."""
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import GOLD, U, batch, chunks, groups, hashes, mix64, packs, powers, symbols, written
+from vaultframe.llm.common import GOLD, U, batch, chunks, done, groups, hashes, mix64, packs, powers, symbols, written
 from vaultframe.llm.components import hot_join
 
 LENGTH, GRAM = 200, 40
@@ -407,12 +406,6 @@ def _twice(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep))
 
 
-def _free(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of what is no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeats(docs: DataFrame, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame]:
     """docs with the keys k1, k2 of each text, and per key the places (start, end) where
     strings that begin there repeat."""
@@ -424,11 +417,11 @@ def repeats(docs: DataFrame, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, D
     again = found.groupBy("h").agg(F.sum(F.size("places")).alias("all"), F.count("*").alias("n")).filter("all > 1").select("h", "n")
     places = hot_join(found, again, ["h"], found.count()).groupBy("k1", "k2").agg(F.flatten(F.collect_set("places")).alias("places"))
     places = written(places, "places")
-    _free(spark)
+    done(spark)
     kind = "k1 long, k2 long, text string"
     joined = texts.mapInArrow(_twice, kind).join(places, ["k1", "k2"]).sortWithinPartitions("k1", "k2")
     segments = written(joined.mapInArrow(_segment_rows, "k1 long, k2 long, first int, starts int, f1 long, f2 long, h long, segment binary"), "segments")
-    _free(spark)
+    done(spark)
     sent = segments.filter("segment is not null").select("h", "f1", "f2", "starts", "segment")
     hot = written(sent.groupBy("h").agg(F.sum(F.octet_length("segment")).alias("bytes")).filter(F.col("bytes") > task_bytes).select("h", F.ceil(F.col("bytes") / task_bytes).cast("int").alias("parts")), "hot")
     many = hot.count()
@@ -439,7 +432,7 @@ def repeats(docs: DataFrame, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, D
     if many:
         runs = runs.unionByName(_across(parted.filter("parts > 1").dropDuplicates(["task", "f1", "f2"])))
     runs = written(runs, "runs")
-    _free(spark)
+    done(spark)
     members = segments.select("k1", "k2", "first", "f1", "f2").join(runs, ["f1", "f2"])
     spans = members.select("k1", "k2", F.transform("runs", lambda x: x + F.col("first")).alias("runs")).groupBy("k1", "k2").agg(F.flatten(F.collect_set("runs")).alias("runs"))
     return keyed, spans
