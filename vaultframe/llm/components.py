@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import UnionFind, written
+from vaultframe.llm.common import UnionFind, tidy, written
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Keys of more than one in SHARE of all rows are hot; there are at most SHARE of these.
@@ -65,10 +65,11 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         large = hot_join(both, least, ["a"], 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = low.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = hot_join(low, least, ["a"], total).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        least = low.groupBy("a").agg(F.min("b").alias("m"))  # hubs are smaller than what they link
+        small = low.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         links = written(small, "stars")
         now = _state(links)
+        tidy(links.sparkSession)
         if now == before:
             break
         before = now

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import GOLD, WHITE, U, Words, batch, chunks, groups, mix64, symbols, windows, written
+from vaultframe.llm.common import GOLD, WHITE, U, Words, batch, chunks, groups, mix64, symbols, tidy, windows, written
 from vaultframe.llm.components import components, hot_join
 
 #: Slots of a signature, and slots of a band. A pair of similarity 0.85 shares none of
@@ -232,6 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, max_elements: int = MAX_
     hubs = slots.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
     edges = hot_join(slots, hubs, ["band"], SLOTS // ROWS * classes.count()).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     coarse = written(components(edges), "coarse")
+    tidy(docs.sparkSession)
     members = coarse.join(classes.drop("bands", "n"), "node").withColumnRenamed("component", "cluster")
     sets = _blocks(members, percent, max_elements).join(docs.filter("text is not null"), F.col("rep") == F.col("doc_id"))
     sets = sets.select("text", "node", "s1", "s2", "block").mapInArrow(_sets, "node long, block long, shingles binary")

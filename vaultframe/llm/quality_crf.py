@@ -21,7 +21,7 @@ from vaultframe.llm.common import WHITE, Words, batch, chunks, hashes, symbols
 
 #: Labelled documents that a fit uses at most, the first by hash of their id, and bytes
 #: of these: where texts are long, fewer of them are used, each one whole.
-SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
+SAMPLE, SAMPLE_BYTES = 4000, 16 << 20
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -160,7 +160,7 @@ class Field:
         self.weights, self.pair, self.curve = np.zeros(WIDTH), np.zeros((2, 2)), np.array([0.0, 0.0])
 
     def emission(self, x: np.ndarray) -> np.ndarray:
-        return self.weights[x].sum(1) if len(x) else np.zeros(0)
+        return sum((self.weights[x[:, j]] for j in range(1, x.shape[1])), self.weights[x[:, 0]]) if len(x) else np.zeros(0)
 
     def fit(self, x: np.ndarray, first: np.ndarray, bad: np.ndarray, rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> None:
         """Likelihood ascent with adaptive steps (Adam)."""
@@ -172,7 +172,7 @@ class Field:
         pairs = np.bincount(b[at - 1] * 2 + b[at], minlength=4).reshape(2, 2)
         for step in range(1, rounds + 1):
             p, expected = marginals(self.emission(x), self.pair, first)
-            g = np.concatenate([np.bincount(x.ravel(), np.repeat(b - p, x.shape[1]), minlength=WIDTH), (pairs - expected).ravel()]) / max(1, len(b))
+            g = np.concatenate([sum(np.bincount(x[:, j], b - p, minlength=WIDTH) for j in range(x.shape[1])), (pairs - expected).ravel()]) / max(1, len(b))
             g -= decay * np.concatenate([self.weights, self.pair.ravel()])
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -237,7 +237,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     good = np.array([r[1] for r in rows], np.int64)
     if not len(rows) or good.min() == good.max():
         return field
-    x = np.concatenate([np.frombuffer(r[2], np.int16).reshape(-1, 3 * len(LIMITS)) for r in rows]).astype(np.int64)
+    x = np.concatenate([np.frombuffer(r[2], np.int16).reshape(-1, 3 * len(LIMITS)) for r in rows])
     chars = np.concatenate([np.frombuffer(r[3], np.float64) for r in rows])
     first = np.concatenate([[0], np.cumsum([len(r[3]) // 8 for r in rows])])
     bad = np.repeat(1 - good, np.diff(first)).astype(bool)
