@@ -109,7 +109,8 @@ def mixed(docs: DataFrame, members: Column | None = None, seed: int = 17, weight
     often as the flow covers all of them, then once more in an order seeded by doc_id;
     the last one is cut where the flow ends, so that a source's words meet its target.
     target and source_size are those of the first of a document's sources. Reruns
-    agree; columns of docs that have the results' names are left out; rows that share a doc_id are ordered by size. An empty table stays empty."""
+    agree; columns of docs that have the results' names are left out; rows that share a doc_id are ordered by size. An empty table stays empty. Sizes
+    are of whole texts, however long."""
     by = members if members is not None else F.array("source")
     columns = [c for c in (docs.columns if columns is None else columns) if c not in RESULTS]
     key = F.transform(F.array_sort(F.array_distinct(by)), lambda x: F.concat(F.lit("="), x))

@@ -141,7 +141,9 @@ def judged(docs: DataFrame, common: int = COMMON, max_char: float = MAX_CHAR, ma
     """docs (doc_id, text, lang, ...) -> the base measures, base_failed, kept and the
     distances from the nearest language.
 
-    A row for each row. Null and empty texts have no words: they fail the base rules.
+    A row for each row, repeated ones too, of whole texts however long. Null and empty
+    texts have no words: they fail the base rules. Of common words in equal number those
+    of the least hash are taken.
     Texts of few words are spared the divergence rules. Without any reference (an empty
     table) nothing is returned. Other columns are ignored."""
     refs = references(docs, common)
