@@ -169,3 +169,13 @@ def test_checksums_in_lanes():
         assert checksums.crc16_arc(data) == slow
     block = bz2.compress(b"hello world")
     assert checksums.bzip2_crc(b"hello world") == int.from_bytes(block[10:14], "big")
+
+
+@pytest.mark.parametrize("n", [65534, 65535, 65536, 70000])
+@pytest.mark.parametrize("streaming", [False, True])
+def test_zip_of_more_entries_than_16_bits_count(n, streaming):
+    data = write("zip", [Item(f"{i}", b"%d" % i) for i in range(n)], WriteOptions(codec="none", streaming=streaming))
+    assert [e.key for e in detect.entries(data)] == [f"{i}" for i in range(n)]
+    assert (b"PK\x06\x06" in data) == (n >= 65535)
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        assert len(z.namelist()) == n and z.read(f"{n - 1}") == b"%d" % (n - 1)
