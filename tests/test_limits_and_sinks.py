@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from vaultframe.functions import checksums, filters
 from vaultframe.functions.codecs import DEFAULT, Context, TooLarge
@@ -20,6 +21,7 @@ from vaultframe.operators.inspect import inspect
 from vaultframe.sources import archive, detect
 from vaultframe.sources.model import Options
 from vaultframe.sources.writers import Item, WriteOptions, write
+from vaultframe.streaming.landing import entries_stream
 
 BOMB = bytes(5_000_000)
 
@@ -179,3 +181,21 @@ def test_zip_of_more_entries_than_16_bits_count(n, streaming):
     assert (b"PK\x06\x06" in data) == (n >= 65535)
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         assert len(z.namelist()) == n and z.read(f"{n - 1}") == b"%d" % (n - 1)
+
+
+@pytest.mark.parametrize("count", [0xFFFF, 70000 & 0xFFFF])
+def test_landed_zips_whose_count_is_too_small(spark, tmp_path, count):
+    n = 70000
+    data = bytearray(write("zip", [Item(f"{i}", b"x") for i in range(n)], WriteOptions(codec="none")))
+    end = data.rfind(b"PK\x05\x06")
+    start = struct.unpack_from("<I", data, end + 16)[0]
+    struct.pack_into("<HH", data, end + 8, count, count)
+    narrow = bytes(data[: end - 76] + data[end:])  # without zip64's two records
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.zip").write_bytes(narrow)
+    assert start == narrow.find(b"PK\x01\x02")
+    entries = entries_stream(spark, str(tmp_path / "in"), glob="*.zip")
+    q = entries.select("key", "error").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.agg(F.count("*"), F.count_distinct("key"), F.count("error")).first() == (n, n, 0)
