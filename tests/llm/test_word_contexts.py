@@ -67,3 +67,14 @@ def test_reruns_agree(spark):
     df = made(spark)
     a, b = (lm_hpyp.scored(df).toPandas().sort_values("doc_id").score.to_numpy() for _ in range(2))
     assert np.allclose(a, b, atol=1e-3)
+
+
+def test_words_without_numbers_are_seated_by_sampling(spark):
+    rng = np.random.default_rng(5)
+    p = 1 / np.arange(1, 31)
+    rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(30)], 60, p=p / p.sum()))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, other, few = (lm_hpyp.scored(df, **k).toPandas().sort_values("doc_id").score.to_numpy() for k in ({}, {"seed": 2}, {"numbered": 5}))
+    # No further apart than two seeds are, and to neither side; with one table a pair 0.75 and 0.25.
+    assert np.abs(few - whole).mean() < 0.45 and abs((few - whole).mean()) < 0.15
+    assert np.abs(other - whole).mean() < 0.45

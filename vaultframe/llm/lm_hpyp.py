@@ -19,7 +19,9 @@ statistics of the NUMBERED most frequent words. Texts are kept as these words' n
 each chunk of texts asks for its distinct pairs, packed and dealt by hash to buckets that
 count and seat them, and gets its answers by the same way. A pair that occurs once in the
 corpus needs no answer: its chunk knows all there is. Pairs with any other word travel as
-rows and get their words' statistics by joins. Both ways lead to the same formula."""
+rows and get their words' statistics by joins; those that occur more than once are
+seated in every sweep like the others, gathered by the word that has no number. Both ways
+lead to the same formula and the same seating."""
 
 from __future__ import annotations
 
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaultframe.llm.common import GOLD, WHITE, U, Words, batch, chunks, done, groups, mix64, symbols, written
+from vaultframe.llm.common import GOLD, WHITE, U, Words, batch, chunks, done, groups, mix64, packs, symbols, written
 
 #: Letters of context; words that have numbers; Gibbs sweeps, and those before the first
 #: sample; tokens for each of which there is a bucket of pairs.
@@ -290,14 +292,14 @@ def predictive(c, t, own_t, own_c, above, level: tuple[float, float] = PAIR):
 
 class Head:
     """Statistics of the numbered words: n, tables in the contexts they make (made) and
-    in the contexts they come in (k), and their probability in the corpus (p). The
+    in the contexts they come in (k, on the driver), and their probability in the corpus (p). The
     beginning of a text, a context alone, is one more."""
 
     def __init__(self, h: np.ndarray, n: np.ndarray):
-        self.order = np.argsort(h)
-        self.hash, self.n = h[self.order], n[self.order]
+        order = np.argsort(h)
+        self.hash, self.n = h[order], n[order]
         size = len(h)
-        self.made, self.k, self.p = np.zeros(size), np.zeros(size), np.zeros(size)
+        self.made, self.k, self.p = np.zeros(size), None, np.zeros(size)
 
     def number(self, h: np.ndarray) -> np.ndarray:
         """Numbers of words by hash, -1 for others."""
@@ -561,6 +563,8 @@ def _summed(table: DataFrame, size: int, column: str, tasks: int) -> tuple[np.nd
     return _totals(table.filter(F.col("kind") == SEATED).select("pairs", column).coalesce(tasks).mapInArrow(_sums(size, column), "id long, raw binary"), size)
 
 
+#: Words that the driver seats at once.
+SLICE = 1 << 16
 SPELLED = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("made", pa.float64()), ("k", pa.float64()), ("s", pa.float64()), ("g", pa.float64())])
 
 
@@ -582,6 +586,106 @@ def _spell(shared, total: float, seed: int):
     return step
 
 
+MOVING = pa.schema([*((x, pa.int64()) for x in ("u", "w", "c", "side")), *((x, pa.float64()) for x in ("made", "k", "g", "s", "first_s", "t", "mean", "more_s", "mean_s", "p"))])
+MOVING_SQL = "u long, w long, c long, side long, made double, k double, g double, s double, first_s double, t double, mean double, more_s double, mean_s double, p double"
+
+
+def _reseat(shared, by: str, corpus: tuple[float, float], seed: tuple[int, int], keep: bool):
+    """One sweep over pairs with words that have no number, sorted by their second word,
+    or by their first: seats that word in the corpus, or sums its tables as a context;
+    then the pairs for which all is known, others waiting for the other word. made and k
+    are tables if every pair had one; more_s, in one row of each second word, its tables
+    in the corpus beyond those it began with. corpus: all of its tables and customers."""
+
+    def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: Head = shared.value
+        for g in packs(batches, by, 8 << 20):
+            x = {f.name: g.column(f.name).to_numpy().copy() for f in MOVING}
+            key, first, of = np.unique(x[by], return_index=True, return_inverse=True)
+            rng = np.random.default_rng((*seed, int(key[0]) & (1 << 62) - 1))
+            beyond = np.bincount(of, x["t"] - 1, minlength=len(key))
+            if by == "w":
+                d, theta = WORD
+                k, spell, s = x["k"][first] + beyond, x["g"][first], x["s"][first]
+                s = seat(rng, k, theta + d * np.maximum(0.0, corpus[0] - s), spell, d)
+                x["p"], x["s"] = predictive(k, s, *corpus, spell, WORD)[of], s[of]
+                x["more_s"] = np.zeros(len(of))
+                x["more_s"][first] = s - x["first_s"][first]
+                x["mean_s"] += keep * x["more_s"]
+                now = np.flatnonzero(x["side"] == 1)
+                made = head.made[head.number(x["u"][now].view(U))]
+            else:
+                now = np.arange(len(of))
+                made = x["made"] + beyond[of]
+                numbered = np.flatnonzero(x["side"] == 2)
+                x["p"][numbered] = head.p[head.number(x["w"][numbered].view(U))]
+            d, theta = PAIR
+            x["t"][now] = seat(rng, x["c"][now], theta + d * np.maximum(0.0, made - x["t"][now]), x["p"][now], d)
+            x["mean"][now] += keep * x["t"][now]
+            yield batch(MOVING, *(x[f.name] for f in MOVING))
+
+    return step
+
+
+def _moving(rare: DataFrame, tail: DataFrame) -> DataFrame:
+    """Pairs with words that have no number and more than one customer, at one table,
+    with what their words are without them."""
+    first, second = F.col("side") % 2 == 1, F.col("side") >= 2
+    none = F.lit(0.0)
+    pairs = rare.filter("c > 1").select("u", "w", "c", F.col("side").cast("long").alias("side"))
+    pairs = pairs.filter(~first).join(tail.select(F.col("h").alias("u"), "made"), "u").unionByName(pairs.filter(first).withColumn("made", none))
+    pairs = pairs.filter(~second).join(tail.select(F.col("h").alias("w"), "k", "g", "s"), "w").unionByName(pairs.filter(second).select("*", *(none.alias(x) for x in ("k", "g", "s"))))
+    return written(pairs.select("u", "w", "c", "side", "made", "k", "g", "s", F.col("s").alias("first_s"), F.lit(1.0).alias("t"), none.alias("mean"), none.alias("more_s"), none.alias("mean_s"), none.alias("p")), "moving", "zstd")
+
+
+class Rest:
+    """The pairs of _moving() between sweeps, and what their tables beyond one each add to
+    numbered words (made, k) and to the sums of the others (all_k, all_s)."""
+
+    def __init__(self, rare: DataFrame, tail: DataFrame):
+        self.tables = [_moving(rare, tail)]
+        self.now = self.tables[0]
+        self.some = bool(self.now.limit(1).count())
+        self.made, self.k, self.all_k, self.all_s = 0.0, 0.0, 0.0, 0.0
+        done(rare.sparkSession)
+
+    def sweep(self, shared, head: Head, corpus: tuple[float, float], seed: tuple[int, int], keep: bool) -> None:
+        if not self.some:
+            return
+
+        def pass_(df: DataFrame, by: str, other: str) -> DataFrame:
+            return written(df.repartition(by).sortWithinPartitions(by, other).mapInArrow(_reseat(shared, by, corpus, seed, keep), MOVING_SQL), "moving", "zstd")
+
+        ended = pass_(self.now.filter("side < 2"), "w", "u")
+        begun = pass_(ended.filter("side = 0").unionByName(self.now.filter("side = 2")), "u", "w")
+        self.now = ended.filter("side = 1").unionByName(begun)
+        done(self.now.sparkSession, *self.tables)
+        self.tables = [ended, begun]
+        self.all_k, self.all_s = (float(x or 0.0) for x in self.now.filter("side < 2").agg(F.sum(F.col("t") - 1), F.sum("more_s")).first())
+        self.made, self.k = (self._added(head, side, word) for side, word in ((1, "u"), (2, "w")))
+
+    def _added(self, head: Head, side: int, word: str, value: str = "t - 1") -> np.ndarray:
+        h, n = _gathered(self.now.filter(F.col("side") == side).groupBy(word).agg(F.sum(F.expr(value)).alias("more")).filter("more > 0"), (word, "more"))
+        out = np.zeros(len(head.hash))
+        out[head.number(h.view(U))] = n
+        return out
+
+    def averaged(self, rare: DataFrame, tail: DataFrame, head: Head, samples: int) -> tuple[DataFrame, DataFrame]:
+        """rare with t, the mean tables of its pairs, and tail with means; made, k and the
+        sums become means, too."""
+        fixed = rare.filter("c <= 1").select("u", "w", "c", "side", F.col("c").cast("double").alias("t"))
+        if not self.some:
+            return fixed, tail
+        more = f"mean / {samples} - 1"
+        self.made, self.k = (self._added(head, side, word, more) for side, word in ((1, "u"), (2, "w")))
+        self.all_k, self.all_s = (float(x or 0.0) for x in self.now.filter("side < 2").agg(F.sum(F.expr(more)), F.sum(F.col("mean_s") / samples)).first())
+        made = self.now.filter("side <> 1").groupBy(F.col("u").alias("h")).agg(F.sum(F.expr(more)).alias("more_made")).filter("more_made > 0")
+        k = self.now.filter("side < 2").groupBy(F.col("w").alias("h")).agg(F.sum(F.expr(more)).alias("more_k"), F.sum(F.col("mean_s") / samples).alias("more_s")).filter("more_k > 0 or more_s <> 0")
+        plus = lambda x: (F.col(x) + F.coalesce(F.col(f"more_{x}"), F.lit(0.0))).alias(x)
+        tail = tail.join(made, "h", "left").join(k, "h", "left").select("h", "n", plus("made"), plus("k"), plus("s"), "g")
+        return fixed.unionByName(self.now.select("u", "w", "c", F.col("side").cast("int").alias("side"), (F.col("mean") / samples).alias("t"))), tail
+
+
 def _gathered(df: DataFrame, names: tuple[str, ...]) -> list[np.ndarray]:
     got = df.select(*names).toArrow()
     return [got.column(x).to_numpy() for x in names]
@@ -621,7 +725,8 @@ def scored(docs: DataFrame, numbered: int = NUMBERED, seed: int = 1) -> DataFram
     del asked
     done(spark)
     alone = _totals(table.filter(F.col("kind") == ALONE).select("id", F.col("pairs").alias("raw")), size)
-    # Pairs with a word that isn't numbered: their customers, at one table.
+    numbers.destroy()
+    # Pairs with a word that isn't numbered: their customers, at one table to begin with.
     plain = sent.filter(F.col("kind") == PLAIN).select("row", "base", "u", "w", "f", F.col("n").alias("side"), "held_out")
     rare = written(plain.groupBy("u", "w").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("f"))).alias("c"), F.min("side").alias("side")), "rare", "zstd")
     met = rare.filter("c > 0")
@@ -632,32 +737,43 @@ def scored(docs: DataFrame, numbered: int = NUMBERED, seed: int = 1) -> DataFram
     begun = float(met.filter(F.col("u") == int(BEGIN_HASH)).count())
     spelled = written(words_.mapInArrow(_spell(speller, types, seed), "h long, n long, made double, k double, s double, g double"), "spelled", "zstd")
     del words_, made, k
+    speller.destroy()
     done(spark, counts)
     of_head = spelled.filter(often | is_end)
     h, rest_made, rest_k, g = _gathered(of_head, ("h", "made", "k", "g"))
-    spell, more_made, more_k = np.zeros(size), np.zeros(size), np.zeros(size)
+    spell, fixed = np.zeros(size), alone  # tables that sampling doesn't move
     at = head.number(h.view(U))
-    spell[at], more_made[at], more_k[at] = g, rest_made, rest_k
-    more_made[head.number(np.array([BEGIN_HASH]))] = begun
+    spell[at] = g
+    fixed[0][at] += rest_made
+    fixed[1][at] += rest_k
+    fixed[0][begin] += begun
+    del h, rest_made, rest_k, g, at, alone
     tail = spelled.filter(~often & ~is_end)
     tail_k, tail_s = (float(x or 0.0) for x in tail.agg(F.sum("k"), F.sum("s")).first())
     # Sweeps: the corpus restaurant, then all contexts' restaurants.
     rng = np.random.default_rng(seed)
     d, theta = WORD
-    fixed = alone[0] + more_made, alone[1] + more_k  # tables that sampling doesn't move
+    rest = Rest(rare, tail)
     of_context, of_word = _summed(table, size, "t", tasks)
     s_now = np.minimum(1.0, of_word + fixed[1])
     s_sum, samples = np.zeros(size), 0
     table_now = table
     for sweep in range(SWEEPS):
-        head.made, customers = of_context + fixed[0], of_word + fixed[1]
+        head.made, customers = of_context + fixed[0] + rest.made, of_word + fixed[1] + rest.k
+        del of_context, of_word
         some = customers > 0
-        s_now[some] = seat(rng, np.maximum(1.0, customers[some]), theta + d * np.maximum(0.0, s_now.sum() + tail_s - s_now[some]), spell[some], d)
+        all_s = s_now.sum() + tail_s + rest.all_s
+        for i in range(0, size, SLICE):
+            on = i + np.flatnonzero(some[i : i + SLICE])
+            s_now[on] = seat(rng, np.maximum(1.0, customers[on]), theta + d * np.maximum(0.0, all_s - s_now[on]), spell[on], d)
         s_now[~some] = 0.0
-        head.p = predictive(customers, s_now, s_now.sum() + tail_s, customers.sum() + tail_k, spell, WORD)
+        corpus = float(s_now.sum() + tail_s + rest.all_s), float(customers.sum() + tail_k + rest.all_k)
+        head.p = predictive(customers, s_now, *corpus, spell, WORD)
+        del customers, some
         shared = sc.broadcast(head)
         seated = written(table_now.filter(F.col("kind") == SEATED).mapInArrow(_sweep(shared, seed + sweep, sweep >= BURN), COUNTED_SQL), "seated", "zstd")
-        shared.unpersist()
+        rest.sweep(shared, head, corpus, (seed + sweep, 1), sweep >= BURN)
+        shared.destroy()
         done(spark, table_now)
         table_now = seated
         if sweep >= BURN:
@@ -666,13 +782,16 @@ def scored(docs: DataFrame, numbered: int = NUMBERED, seed: int = 1) -> DataFram
         if sweep + 1 < SWEEPS:
             of_context, of_word = _summed(table_now, size, "t", tasks)
     of_context, of_word = (x / samples for x in _summed(table_now, size, "mean", tasks))
-    head.made, head.k = of_context + fixed[0], of_word + fixed[1]
+    rare_mean, tail = rest.averaged(rare, tail, head, samples)
+    head.made, head.k = of_context + fixed[0] + rest.made, of_word + fixed[1] + rest.k
     s_mean = np.minimum(s_sum / samples, head.k)
-    all_s, all_k = s_mean.sum() + tail_s, head.k.sum() + tail_k
+    all_s, all_k = float(s_mean.sum() + tail_s + rest.all_s), float(head.k.sum() + tail_k + rest.all_k)
     head.p = predictive(head.k, s_mean, all_s, all_k, spell, WORD)
+    head.k = None  # not read by tasks
     final = sc.broadcast(head)
     table = table_now
-    part = _scores(sent, table, rare, plain, tail, final, samples, (all_s, all_k), (tokens, types), (begin, buckets), [rare, spelled])
+    del of_context, of_word, fixed, spell, s_now, s_sum, s_mean
+    part = _scores(sent, table, rare_mean, plain, tail, final, samples, (all_s, all_k), (tokens, types), (begin, buckets), [rare, spelled, *rest.tables])
     return part.withColumn("train_tokens", F.lit(tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -698,11 +817,11 @@ def _scores(sent: DataFrame, table: DataFrame, rare: DataFrame, plain: DataFrame
         for b in batches:
             u, w = (head.number(b.column(x).to_numpy().view(U)) for x in ("u", "w"))
             own_c, made, p = (b.column(x).cast(pa.float64()).fill_null(0.0).to_numpy() for x in ("own_c", "made", "p"))
-            c = b.column("c").to_numpy()
-            y = predictive(c, np.minimum(c, 1), np.where(u >= 0, head.made[u], made), np.where(u >= 0, head.n[u], own_c), np.where(w >= 0, head.p[w], p))
+            c, t = b.column("c").to_numpy(), b.column("t").to_numpy()
+            y = predictive(c, t, np.where(u >= 0, head.made[u], made), np.where(u >= 0, head.n[u], own_c), np.where(w >= 0, head.p[w], p))
             yield batch(schema, b.column("u"), b.column("w"), np.log10(np.maximum(y, 1e-300)), b.column("base"), b.column("met"))
 
-    valued = valued.select("u", "w", "c", "own_c", "made", "p", "base", "met").mapInArrow(value, "u long, w long, y double, base double, met long")
+    valued = valued.select("u", "w", "c", "t", "own_c", "made", "p", "base", "met").mapInArrow(value, "u long, w long, y double, base double, met long")
     others = plain.select("base", "row", "u", "w", "f").withColumnRenamed("base", "at").join(valued, ["u", "w"]).groupBy("at", "row").agg(F.sum(F.col("f") * F.col("y")).alias("y"), F.sum(F.col("f") * F.col("base")).alias("x"), F.sum(F.col("f") * F.col("met")).alias("known"))
     others = written(others, "others", "zstd")
     del valued
